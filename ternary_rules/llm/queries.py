@@ -9,6 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extraction import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_search import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -17,6 +29,12 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import taken
+
+    return taken(table(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -25,6 +43,20 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embedding_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .language_id import identify
+
+    return identify(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -38,9 +70,14 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
     "op2_token_counts": op2_token_counts,
+    "op3_embedding_dedup": op3_embedding_dedup,
+    "op4_language_id": op4_language_id,
     "op6_simhash": op6_simhash,
     "op7_line_dedup": op7_line_dedup,
+    "op8_html_extraction": op8_html_extraction,
+    "op9_top_k": op9_top_k,
     "op10_sentencepiece": op10_sentencepiece,
 }
 ORACLE_SQL: dict[str, str] = {}
