@@ -57,6 +57,12 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import replace_pii
+
+    return replace_pii(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_replaced")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -74,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_embedding_dedup": op3_embedding_dedup,
     "op4_language_id": op4_language_id,
+    "op5_pii_surrogates": op5_pii_surrogates,
     "op6_simhash": op6_simhash,
     "op7_line_dedup": op7_line_dedup,
     "op8_html_extraction": op8_html_extraction,
