@@ -66,5 +66,36 @@ def sha256_text(column: Column) -> Column:
     return F.sha2(column.cast("binary"), 256)
 
 
+#: Keys that count as hot at most; they hold over 1/HOT_KEYS of all rows each, so there are no more.
+HOT_KEYS = 10_000
+LEAST_HOT = 64
+
+
+def join_skewed(many: DataFrame, one: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """many joined to one, which has a row for each key at most. A key with over 1/HOT_KEYS of the
+    rows of many, of which there are HOT_KEYS at most, meets its row by a broadcast, so no task
+    gets all rows of a key; the others are joined by hash. many should be a stored table."""
+    total = many.count()
+    hot = many.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > max(LEAST_HOT, total // HOT_KEYS)).select(*keys)
+    hot = stored(hot)
+    if hot.isEmpty():
+        return many.join(one, keys, how)
+    few = F.broadcast(one.join(F.broadcast(hot), keys, "left_semi"))
+    hot_rows = many.join(F.broadcast(hot), keys, "left_semi").join(few, keys, how)
+    return hot_rows.unionByName(many.join(F.broadcast(hot), keys, "left_anti").join(one, keys, how))
+
+
+def shielded(df: DataFrame, needed: tuple[str, ...]) -> DataFrame:
+    """df with all columns but those needed renamed, so that none clashes with a working column."""
+    return df.select(*[F.col(f"`{c}`").alias(c if c in needed else f"__keep_{k}") for k, c in enumerate(df.columns)])
+
+
+def restored(df: DataFrame, names: list[str], needed: tuple[str, ...], outputs: tuple[str, ...] = ()) -> DataFrame:
+    """The columns of a shielded() table under their own names, then outputs; a column that has the
+    name of an output makes room for it."""
+    kept = [F.col(c if c in needed else f"__keep_{k}").alias(c) for k, c in enumerate(names) if c not in outputs]
+    return df.select(*kept, *outputs)
+
+
 def union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import small_batches, stored
+from .common import restored, shielded, small_batches, stored
 
 LETTERS = regex.compile(r"\p{L}+")
 #: Letters of a run that are scored as one word; longer runs are cut.
@@ -170,8 +170,11 @@ def fit(docs: DataFrame, model_path: str, fit_docs: int = FIT_DOCS, rounds: int
     small_batches(spark)
     labelled = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     labelled = labelled.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string"), F.xxhash64("doc_id").alias("h"))
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    bounds = {r["lang"]: r["h"] for r in labelled.select("lang", "h").withColumn("n", nth).where(F.col("n") <= fit_docs).groupBy("lang").agg(F.max("h").alias("h")).collect()}
+    # the least hashes of a language, first in parts of it, then of what the parts have left
+    nth = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("h"))
+    parts = labelled.select("lang", "h").withColumn("part", F.pmod(F.hash("h"), F.lit(64))).withColumn("n", nth("lang", "part")).where(F.col("n") <= fit_docs)
+    least = parts.withColumn("n", nth("lang")).where(F.col("n") <= fit_docs)
+    bounds = {r["lang"]: r["h"] for r in least.groupBy("lang").agg(F.max("h").alias("h")).collect()}
     languages = sorted(bounds, key=lambda x: x.encode())
     vocab = vocabulary(model_path)
     if not languages:
@@ -237,6 +240,7 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     letter, or if nothing was learned. Ties go to the language first in code point order."""
     spark = docs.sparkSession
     small_batches(spark)
+    own_names, docs = docs.columns, shielded(docs, ("text",))
     shipped = spark.sparkContext.broadcast((model.languages, model.p))  # languages x pieces: bounded
     path = model.model_path
     token = f"{id(shipped)}-{abs(hash(model.p.tobytes()))}"
@@ -273,7 +277,8 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
                 a = b
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(predicted, pa.string()), pa.array(score, pa.float64())], names=[*names, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, StructType(list(docs.schema.fields)).add("lang_pred", "string").add("score", "double"))
+    found = docs.mapInArrow(run, StructType(list(docs.schema.fields)).add("lang_pred", "string").add("score", "double"))
+    return restored(found, own_names, ("text",), ("lang_pred", "score"))
 
 
 def identify(docs: DataFrame, model_path: str, fit_docs: int = FIT_DOCS) -> DataFrame:

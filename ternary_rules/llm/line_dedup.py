@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, small_batches, stored, union
+from .common import join_skewed, restored, shared_dir, shielded, small_batches, stored, union
 
 BLANK = b" \t\n\x0b\x0c\r"
 #: Keys that a shard should hold; their number sets the number of shards.
@@ -244,10 +244,9 @@ class LineIndex:
 
     def drops(self) -> DataFrame:
         """(doc_id, drop): the keys that each document loses, 16 bytes each in one binary. A key of
-        two or more documents stays in the least doc_id only. A line that very many documents hold
-        is a skewed key of this join, which adaptive execution splits."""
+        two or more documents stays in the least doc_id only."""
         several = self.counts().where("refs > 1").select("hi", "lo", "keeper")
-        lost = self.live().join(several, ["hi", "lo"]).where("doc_id <> keeper")
+        lost = join_skewed(self.live(), several, ["hi", "lo"]).where("doc_id <> keeper")
         return lost.groupBy("doc_id").agg(F.collect_list(F.struct("hi", "lo")).alias("drop"))
 
     def resolve(self, docs: DataFrame) -> DataFrame:
@@ -255,6 +254,7 @@ class LineIndex:
         line), and n_lines (before dropping), n_dropped and kept_sha256 added."""
         small_batches(self.spark)
         min_chars = self.min_chars
+        own_names, docs = docs.columns, shielded(docs, ("doc_id", "text"))
         drops = self.drops().select(F.col("doc_id").alias("__of"), "drop")
         joined = docs.join(drops.hint("shuffle_hash"), docs["doc_id"] == drops["__of"], "left").drop("__of")
         schema = docs.withColumn("text", F.col("text").cast("string")).schema
@@ -281,7 +281,7 @@ class LineIndex:
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(sha, pa.string())], names=[*names, "n_lines", "n_dropped", "kept_sha256"])
 
         ddl = schema.add("n_lines", "long").add("n_dropped", "long").add("kept_sha256", "string")
-        return joined.mapInArrow(run, ddl)
+        return restored(joined.mapInArrow(run, ddl), own_names, ("doc_id", "text"), ("n_lines", "n_dropped", "kept_sha256"))
 
 
 def dedup(docs: DataFrame, min_chars: int = 10) -> DataFrame:

@@ -17,11 +17,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stored
+from .common import WORD, restored, shielded, stored
 
 BLOCK_WORDS = 256
 SHARD_BLOCKS = 4096
 ROUNDS = 24
+#: Slots that one row is exploded to; a task makes a few such chunks.
+CHUNK_SLOTS = 8192
 #: Documents of a source whose sizes one window sums up.
 RUN_ROWS = 20_000
 WEIGHTS = (3, 1, 2)
@@ -104,9 +106,11 @@ def slots(goals: DataFrame, block_words: int = BLOCK_WORDS, shard_blocks: int =
     along = Window.orderBy("source_no").rowsBetween(Window.unboundedPreceding, -1)
     plan = plan.withColumn("first", F.coalesce(F.sum("n_slots").over(along), F.lit(0))).withColumn("all_slots", F.sum("n_slots").over(Window.partitionBy(F.lit(1))))
     # a source's slots by chunk first: one source can have most of them
-    chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_slots") - 1) / shard_blocks))).alias("chunk")
-    chunks = plan.where("n_slots > 0").select("*", chunk).repartition("source_no", "chunk")
-    k = F.explode(F.sequence(F.col("chunk") * shard_blocks, F.least(F.col("n_slots"), (F.col("chunk") + 1) * shard_blocks) - 1)).alias("k")
+    plan = stored(plan.where("n_slots > 0"))
+    n_chunks = plan.agg(F.sum(F.floor((F.col("n_slots") - 1) / CHUNK_SLOTS) + 1)).first()[0] or 0
+    chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_slots") - 1) / CHUNK_SLOTS))).alias("chunk")
+    chunks = plan.select("*", chunk).repartition(int(max(1, min(n_chunks, 20_000))), "source_no", "chunk")
+    k = F.explode(F.sequence(F.col("chunk") * CHUNK_SLOTS, F.least(F.col("n_slots"), (F.col("chunk") + 1) * CHUNK_SLOTS) - 1)).alias("k")
     out = chunks.select("*", k).withColumn("pass", F.floor(F.col("k") / F.col("blocks"))).withColumn("at", F.col("k") % F.col("blocks"))
     block = permuted(F.col("at"), F.col("blocks"), F.lit(seed), F.col("source_no"), F.col("pass"))
     out = out.withColumn("block", block).withColumn("place", permuted(F.col("first") + F.col("k"), F.col("all_slots"), F.lit(seed), F.lit(-1), F.lit(-1)))
@@ -136,7 +140,8 @@ def plan_mix(rows: DataFrame, order: list[str], block_words: int = BLOCK_WORDS,
     placed = stored(_numbered(_placed(rows, order, seed), goals))
     pieces = _pieces(placed, block_words)
     dealt = slots(goals, block_words, shard_blocks, seed)
-    both = pieces.join(dealt, ["source_no", "block"])
+    # sorted runs on both sides: the slots come from few rows, which makes their size look small
+    both = pieces.join(dealt.hint("merge"), ["source_no", "block"])
     from_ = F.greatest(F.col("block") * block_words, F.col("begin")) - F.col("begin")
     to = F.least(F.col("block") * block_words + F.col("words"), F.col("begin") + F.col("size")) - F.col("begin")
     return placed, both.withColumn("low", from_).withColumn("high", to).where("high > low").select("shard", "slot", "source_no", "begin", "pass", "low", "high")
@@ -159,8 +164,9 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int =
     """The mix as documents, with the columns of docs: a row for each pass that takes words of a
     document. Where a pass takes all its words the text is unchanged; else it is the words taken,
     in order, joined by spaces. n_chars is counted anew. Documents without words stay once."""
-    names = docs.columns
-    rows = docs.withColumn("source", F.col("source").cast("string")).withColumn("size", words_in(F.col("text"))).withColumn("__text", F.xxhash64("text"))
+    names, needed = docs.columns, ("doc_id", "text", "source", "n_chars")
+    kind = docs.schema["n_chars"].dataType if "n_chars" in names else None
+    rows = shielded(docs, needed).withColumn("source", F.col("source").cast("string")).withColumn("size", words_in(F.col("text"))).withColumn("__text", F.xxhash64("text"))
     rows = stored(rows)
     light = rows.select("doc_id", "source", "size", "__text")
     placed, mix = plan_mix(light, ["doc_id", "__text"], block_words, seed=seed)
@@ -175,6 +181,6 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int =
     cut = F.array_join(F.flatten(F.transform(F.col("__ranges"), lambda r: F.slice(F.col("__words"), (r["low"] + 1).cast("int"), (r["high"] - r["low"]).cast("int")))), " ")
     out = texts.drop("size").join(own.drop("size"), same).withColumn("__words", F.when(F.col("__ranges").isNotNull(), words))
     out = out.withColumn("text", F.when(F.col("__ranges").isNotNull(), cut).otherwise(F.col("text")))
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
-    return out.select(*names)
+    if kind is not None:
+        out = out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(kind))
+    return restored(out, names, needed)

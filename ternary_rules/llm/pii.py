@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import join_skewed, restored, shielded, stored
 
 FEMALE_TITLES = ("Mrs", "Ms", "Miss", "Madam", "Frau", "Mme", "Madame", "Mlle", "Sra", "Señora", "Doña", "Госпожа", "Κυρία")
 MALE_TITLES = ("Mr", "Sir", "Herr", "Monsieur", "Sr", "Señor", "Господин", "Κύριος")
@@ -39,6 +39,9 @@ SYLLABLES = {
 }
 ENDINGS = {("latin", "f"): "a", ("latin", "m"): "o", ("latin", "n"): "e", ("latin", "s"): "", ("cyrillic", "f"): "а", ("cyrillic", "m"): "", ("cyrillic", "n"): "я", ("cyrillic", "s"): "ов", ("greek", "f"): "α", ("greek", "m"): "ος", ("greek", "n"): "ης", ("greek", "s"): "ίδης"}
 ATTEMPTS = 24
+#: From this attempt on numbers get longer by a digit each time: where a corpus uses up nearly all
+#: numbers of one length, distinctness comes before format.
+LONGER_FROM = 11
 
 _titles = "|".join((*FEMALE_TITLES, *MALE_TITLES, *OTHER_TITLES))
 _given = "|".join((*FEMALE, *MALE))
@@ -141,7 +144,8 @@ def surrogate(kind: Column, canon: Column, attempt: int, key: Column) -> Column:
     as_is = _same_classes(canon, digest, canon.rlike("^[0-9a-f]+$"))
     digits = F.translate(digest, "abcdef", "385061")
     country = F.lit(1)  # the first digit of a number says what kind it is
-    numbers = F.concat(F.substring(canon, F.lit(1), country), F.substring(digits, F.lit(1), F.length(canon) - country))
+    longer = F.lit(max(0, attempt - LONGER_FROM))
+    numbers = F.concat(F.substring(canon, F.lit(1), country), F.substring(digits, F.lit(1), F.length(canon) - country + longer))
     ip = F.concat_ws(".", *[(_number(digest, 1 + 8 * k, 223 if k == 0 else 254) + 1).cast("string") for k in range(4)])
     tld = F.regexp_extract(canon, r"\.([a-z]+)$", 1)
     local = F.translate(F.substring(digest, 1, 10), "0123456789", "ghijkmnpqr")
@@ -187,7 +191,7 @@ def _shown(shown: Column, canon: Column, kind: Column, new: Column) -> Column:
         nth = F.length(F.regexp_replace(F.substring(shown, F.lit(1), i.cast("int")), "[^0-9A-Z]", "")) + 1
         return F.when(c.rlike("[0-9A-Z]"), F.substring(new, nth, F.lit(1))).otherwise(c)
 
-    filled = F.array_join(F.transform(F.split(shown, ""), digit), "")
+    filled = F.concat(F.array_join(F.transform(F.split(shown, ""), digit), ""), F.substring(new, F.length(canon) + 1, F.length(new)))
     return F.when(kind.isin(*_digits, "iban") & (shown != canon), filled).otherwise(new)
 
 
@@ -196,17 +200,18 @@ def replace_pii(docs: DataFrame, key: str = "surrogates") -> DataFrame:
     stays null with 0; a text without mentions stays as it is. Rows that repeat are replaced alike.
     A document's mentions are put together again in one row; nothing gathers more than that."""
     row = F.xxhash64("text")
-    with_text = docs.withColumn("text", F.col("text").cast("string"))
+    names, needed = docs.columns, ("doc_id", "text")
+    with_text = shielded(docs, needed).withColumn("text", F.col("text").cast("string"))
     found = stored(with_text.select(F.col("doc_id").alias("__d"), row.alias("__h"), mentions(F.col("text")).alias("m")).where(F.size("m") > 0).dropDuplicates(["__d", "__h"]))
     each = found.select("__d", "__h", F.posexplode("m").alias("at", "mention")).withColumn("k", _kind(F.col("mention")))
     each = each.select("__d", "__h", "at", F.posexplode(_parts(F.col("mention"), F.col("k"))).alias("nth", "p")).select("__d", "__h", "at", "nth", "p.*")
     each = stored(each)
-    # an entity that very many documents mention is a skewed key of this join, which adaptive
-    # execution splits
-    chosen = assign(each.select("kind", "canon").distinct(), key)
-    shown = each.join(chosen, ["kind", "canon"]).withColumn("new", F.concat("lead", _shown(F.col("shown"), F.col("canon"), F.col("kind"), F.col("surrogate"))))
+    # very many documents may mention one entity
+    chosen = stored(assign(each.select("kind", "canon").distinct(), key))
+    shown = join_skewed(each, chosen, ["kind", "canon"]).withColumn("new", F.concat("lead", _shown(F.col("shown"), F.col("canon"), F.col("kind"), F.col("surrogate"))))
     whole = shown.groupBy("__d", "__h").agg(F.array_sort(F.collect_list(F.struct("at", "nth", "new"))).alias("all"), F.countDistinct("at").cast("long").alias("n_replaced"))
     joined = with_text.withColumn("__th", row).join(whole, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__th") == F.col("__h")), "left")
     pieces = F.transform(F.split(F.col("text"), ANY, -1), lambda s, i: F.concat(s, F.array_join(F.transform(F.filter(F.col("all"), lambda p: p["at"] == i), lambda p: p["new"]), "")))
     text = F.when(F.col("all").isNull(), F.col("text")).otherwise(F.array_join(pieces, ""))
-    return joined.withColumn("text", text).select(*docs.columns, F.coalesce("n_replaced", F.lit(0)).cast("long").alias("n_replaced"))
+    done = joined.withColumn("text", text).withColumn("n_replaced", F.coalesce("n_replaced", F.lit(0)).cast("long"))
+    return restored(done, names, needed, ("n_replaced",))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored
+from .common import join_skewed, restored, shielded, small_batches, stored
 from .graph import components
 
 #: First bit of each segment, and the end of the last.
@@ -126,16 +126,25 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 4, max_differing:
     stay repeated and share a class; a null doc_id takes part in links but names no class unless
     the class has no other id."""
     own = stored(fingerprints(docs, words_per_shingle))
-    linked = components(links(own.select("fp").distinct(), max_differing))
-    joined = own.join(linked.select(F.col("node").alias("fp"), "component"), "fp", "left").select("doc_id", "fp", F.coalesce("component", "fp").alias("class"))
-    named = joined.groupBy("class").agg(F.min("doc_id").alias("component_id"))
-    return joined.join(named, "class").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    each = stored(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    linked = components(links(each.select("fp"), max_differing))
+    each = each.join(linked.select(F.col("node").alias("fp"), "component"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("class"))
+    each = stored(each)
+    named = each.groupBy("class").agg(F.min("least").alias("component_id"))
+    classes = stored(join_skewed(each, named, ["class"]).select("fp", "component_id"))
+    return join_skewed(own, classes, ["fp"]).select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, words_per_shingle: int = 4, max_differing: int = 4) -> DataFrame:
     """The rows of docs, all their columns, without those that repeat another: of each class the
-    row with the least doc_id stays (of equal ids the one with the least text)."""
-    found = near_duplicates(docs, words_per_shingle, max_differing).where("doc_id = component_id or component_id is null").select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(found, docs["doc_id"].eqNullSafe(found["__id"]), "left_semi")
-    first = Window.partitionBy("doc_id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
-    return kept.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
+    row with the least doc_id stays (of equal ids the one with the least text, then the least other
+    columns as JSON). A row without doc_id takes no part and stays."""
+    names, needed = docs.columns, ("doc_id", "text")
+    docs = shielded(docs, needed)
+    known = docs.where("doc_id is not null")
+    found = near_duplicates(known, words_per_shingle, max_differing).where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
+    kept = known.join(found, known["doc_id"] == found["__id"], "left_semi")
+    rest = [c for c in docs.columns if c not in needed]
+    first = Window.partitionBy("doc_id").orderBy("text", *([F.to_json(F.struct(*rest))] if rest else []))
+    kept = kept.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
+    return restored(kept.unionByName(docs.where("doc_id is null")), names, needed)
