@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, stored
 
-#: Winning paths are shipped to all workers up to so many hosts, and joined to the pages beyond.
-BROADCAST_HOSTS = 100_000
+#: Winning paths are shipped to all workers up to so many hosts and bytes, and joined to the pages beyond.
+BROADCAST_HOSTS, BROADCAST_BYTES = 100_000, 32 << 20
 #: Hosts and paths whose votes a worker sums before it passes them on.
 MOST_SUMS = 50_000
 
@@ -221,7 +221,8 @@ def extract(pages: DataFrame) -> DataFrame:
     small_batches(spark)
     own = pages.select("page_id", "url", F.col("html").cast("string"), host_of(F.col("url")).alias("host"))
     paths = stored(host_paths(pages))
-    if paths.count() <= BROADCAST_HOSTS:
+    n_hosts, n_bytes = paths.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("host") + F.octet_length("path")), F.lit(0))).first()
+    if n_hosts <= BROADCAST_HOSTS and n_bytes <= BROADCAST_BYTES:
         shipped = spark.sparkContext.broadcast({r["host"]: r["path"] for r in paths.collect()})
         joined = own.withColumn("path", F.lit(None).cast("string"))
     else:  # a host with very many pages is a skewed key, which adaptive execution splits
