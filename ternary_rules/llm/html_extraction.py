@@ -2,8 +2,9 @@
 
 Every page scores its containers and casts votes for their generalised tag-class paths. Spark sums
 the votes per host, and the path with most votes is the place of the article on that host. Pages
-are then read again, and their text is taken from there; a page that lacks its host's path, or has
-a host of its own, falls back to its own best container.
+are then read again. The path is an anchor: the text is that of the whole article around it (see
+Page.text). A page that lacks its host's path, or has a host of its own, falls back to its own best
+container.
 """
 
 from __future__ import annotations
@@ -73,14 +74,15 @@ def _names(tag: str, attributes: str) -> tuple[str, bool]:
 
 class Page:
     """One pass over a page: elements with their generalised paths, and blocks of text, each with
-    the elements it stands in. Text inside elements that hold no article text is left out at once."""
+    the elements it stands in and the number of its characters in links. Text inside elements that hold no article text is left out at once."""
 
     def __init__(self, source: str):
         self.elements: list[_Element] = []
-        self.blocks: list[tuple[str, list[_Element]]] = []
+        self.blocks: list[tuple[str, list[_Element], int]] = []
         self.stack: list[_Element] = []
         self.pieces: list[str] = []
         self.place: list[_Element] = []
+        self.linked = 0
         at, n = 0, len(source)
         while at < n:
             m = MARKUP.search(source, at)
@@ -108,13 +110,15 @@ class Page:
         if not self.pieces:
             self.place = list(self.stack)
         self.pieces.append(html.unescape(text) if "&" in text else text)
+        if self.stack and self.stack[-1].linked:
+            self.linked += len(" ".join(self.pieces[-1].split()))
 
     def _flush(self) -> None:
         if self.pieces:
             text = " ".join("".join(self.pieces).split())
             if text:
-                self.blocks.append((text, self.place))
-            self.pieces = []
+                self.blocks.append((text, self.place, min(self.linked, len(text))))
+            self.pieces, self.linked = [], 0
 
     def _pop_to(self, k: int) -> None:
         if any(e.tag in BLOCKS for e in self.stack[k:]):
@@ -164,7 +168,7 @@ class Page:
         """Points by container path: a block's length counts for the nearest container, half for
         the next one out and a quarter beyond it; text in links counts against."""
         points: Counter = Counter()
-        for text, place in self.blocks:
+        for text, place, _ in self.blocks:
             worth = -len(text) if place and place[-1].linked else len(text) + 25
             for e in reversed(place):
                 if e.tag in CONTAINERS:
@@ -176,13 +180,43 @@ class Page:
         return {p: 1000 * v // most for p, v in points.items() if v > 0} if most > 0 else {}
 
     def text(self, path: str | None) -> str:
-        """The blocks inside elements of this path, joined by \\n."""
+        """The blocks of the article around elements of this path, joined by \\n. Such an element is
+        widened to its outermost article or main; where it has none, to the parent again and again,
+        short of body, while what the parent adds is more plain text than links. Plain blocks that
+        stand directly in a container further out, such as a title above the article, are its own."""
         if path is None or not any(e.path == path and e.tag in CONTAINERS and not e.away for e in self.elements):
             own = self.votes()
             path = min(own, key=lambda p: (-own[p], p)) if own else None
         if path is None:
-            return "\n".join([t for t, _ in self.blocks])
-        return "\n".join([t for t, place in self.blocks if any(e.path == path for e in place)])
+            return "\n".join([t for t, _, _ in self.blocks])
+        sizes: dict[_Element, list[int]] = {}
+        for text, place, linked in self.blocks:
+            for e in place:
+                size = sizes.setdefault(e, [0, 0])
+                size[0] += len(text) - linked
+                size[1] += linked
+        roots: set[_Element] = set()
+        outer: set[_Element | None] = {None}
+        for place in {e: place for _, place, _ in self.blocks for e in place if e.path == path}.values():
+            at = next(k for k, e in enumerate(place) if e.path == path)
+            root = next((k for k in range(at + 1) if place[k].tag in ("article", "main")), None)
+            if root is None:
+                root = at
+                for k in range(at - 1, -1, -1):
+                    if place[k].tag in ("body", "html"):
+                        break
+                    more = [a - b for a, b in zip(sizes[place[k]], sizes[place[root]], strict=True)]
+                    if place[k].tag in CONTAINERS and more[0] > more[1]:
+                        root = k
+            roots.add(place[root])
+            outer.update(place[:root])
+        if not roots:
+            return ""
+
+        def belongs(place: list[_Element], plain: bool) -> bool:
+            return any(e in roots for e in place) or plain and next((e for e in reversed(place) if e.tag in CONTAINERS), None) in outer
+
+        return "\n".join([t for t, place, linked in self.blocks if belongs(place, 2 * linked < len(t))])
 
 
 def host_of(url: Column) -> Column:

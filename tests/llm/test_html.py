@@ -62,3 +62,25 @@ def test_long_page(spark):
     body = "".join(f"<p>paragraph {i} &eacute;</p>" for i in range(20_000))
     found = extract(spark.createDataFrame([(1, "http://h", PAGE % f"<article>{body}</article>")], SCHEMA)).first()
     assert found["text"] == "\n".join(html.unescape(f"paragraph {i} &eacute;") for i in range(20_000))
+
+
+A, B = "words of the article that go on " * 20, "more words of it " * 20
+
+
+@pytest.mark.parametrize(
+    ("body", "text"),
+    [
+        (f"<article><h1>The title</h1><div class='entry-content'><p>{A}</p><p>{B}</p></div></article>", ["The title", A, B]),
+        (f"<article><p>direct</p><section><p>{A}</p></section><section><p>{B}</p></section><p>end</p></article>", ["direct", A, B, "end"]),
+        (f"<article><div class='part-a'><p>{A}</p></div><div class='part-b'><p>{B}</p></div></article>", [A, B]),
+        (f"<div class='page'><h1>The title</h1><div class='a'><p>{A}</p></div><div class='b'><p>{B}</p></div><div class='c'><a href='/x'>a link</a></div></div>", ["The title", A, B, "a link"]),
+        (f"<div class='page'><div class='a'><p>{A}</p></div><div class='c'>{'<p><a href=/x>a link to another page</a></p>' * 9}</div></div>", [A]),
+        (f"<h1>The title</h1><div class='a'><p>{A}</p></div><p><a href='/'>home</a></p>", ["The title", A]),
+        (f"<div class='wrap'><h1>The title</h1><article><section><p>{A}</p></section></article><div><p>teaser</p></div></div>", ["The title", A]),
+    ],
+)
+def test_whole_article(spark, body, text):
+    """The path that wins for a host is an anchor; the article around it is taken as a whole."""
+    want = "\n".join(" ".join(t.split()) for t in text)
+    found = extract(spark.createDataFrame([(i, f"http://h/{i}", PAGE % body) for i in range(2)], SCHEMA)).collect()
+    assert [r["text"] for r in found] == [want] * 2
