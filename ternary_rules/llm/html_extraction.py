@@ -40,23 +40,36 @@ AWAY_NAMES = frozenset(
 )
 #: Such a name beside one of AWAY_NAMES in one class speaks of the article itself.
 OWN_NAMES = frozenset("article entry post story content body main text".split())
+#: Elements that such names are read of; headings, paragraphs and phrases have them as anchors.
+NAMED = frozenset("div section ul ol dl li table tbody tr td th center details fieldset".split())
+#: Names that articles have too, in any attribute or as ids: links decide (see Page).
+DOUBTFUL = frozenset("discussion alert notice notices notification disclaimer search social reply replies respond".split())
+DOUBTFUL_IDS = DOUBTFUL | frozenset("related recommended share sharing login signup skip cookie cookies menu menus foot ads ad promotion sponsor sponsored consent overlay complementary".split())
+#: Words that say where an element stands or what it looks like, not what it holds.
+LAYOUT = frozenset("left right top bottom inner outer main primary secondary area bar box block list wrap wrapper container content section column col row holder panel form".split())
 #: What an opening tag closes, and where the search for it ends.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 P_ENDS = frozenset("article section div body td th li blockquote main table button".split())
 
 
 class _Element:
-    __slots__ = ("away", "depth", "linked", "path", "score", "tag")
+    __slots__ = ("away", "depth", "doubtful", "linked", "path", "score", "tag")
 
-    def __init__(self, tag: str, path: str, away: bool, linked: bool, depth: int):
-        self.tag, self.path, self.away, self.linked, self.depth, self.score = tag, path, away, linked, depth, 0.0
+    def __init__(self, tag: str, path: str, away: bool, linked: bool, depth: int, doubtful: bool = False):
+        self.tag, self.path, self.away, self.linked, self.depth, self.score, self.doubtful = tag, path, away, linked, depth, 0.0, doubtful
 
 
-def _names(tag: str, attributes: str) -> tuple[str, bool]:
-    """The generalised name of an element, and whether it holds no article text."""
-    away = tag in AWAY
+def _words(name: str) -> set[str]:
+    return {p.lower() for p in re.split(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])", name) if p}
+
+
+def _names(tag: str, attributes: str) -> tuple[str, bool, bool]:
+    """The generalised name of an element, whether it holds no article text, and whether that is
+    open. A class counts by any word in it. An id, which may be an anchor to a part of the article,
+    counts as a whole: beside words of AWAY_NAMES it has words of LAYOUT and numbers only."""
+    away, doubtful = tag in AWAY, False
     if not attributes or attributes.isspace():
-        return tag, away
+        return tag, away, doubtful
     classes: list[str] = []
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "")
@@ -64,17 +77,26 @@ def _names(tag: str, attributes: str) -> tuple[str, bool]:
             away = True
         elif name == "class":
             classes = [re.sub(r"\d+", "#", c.lower()) for c in value.split()]
-        if name in ("class", "id", "role") and tag not in ("body", "html", "article", "main"):
+        if name in ("class", "id", "role") and tag in NAMED:
             for one in value.split():
-                parts = {p.lower() for p in re.split(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])", one)}
-                if parts & AWAY_NAMES and not parts & OWN_NAMES or parts & {"comment", "comments", "ad", "ads", "sidebar", "nav", "menu", "footer"}:
+                parts = _words(one)
+                hits = parts & AWAY_NAMES
+                if not hits or parts & OWN_NAMES and not parts & {"comment", "comments", "ad", "ads", "sidebar", "nav", "menu", "footer"}:
+                    continue
+                if name == "role":
                     away = True
-    return (tag + "".join(f".{c}" for c in sorted(set(classes))), away)
+                elif name == "class":
+                    away, doubtful = away or bool(hits - DOUBTFUL), True
+                else:
+                    whole = all(p in AWAY_NAMES or p in LAYOUT or p.isdigit() for p in parts)
+                    away, doubtful = away or whole and bool(hits - DOUBTFUL_IDS), True
+    return (tag + "".join(f".{c}" for c in sorted(set(classes))), away, doubtful)
 
 
 class Page:
     """One pass over a page: elements with their generalised paths, and blocks of text, each with
-    the elements it stands in and the number of its characters in links. Text inside elements that hold no article text is left out at once."""
+    the elements it stands in and the number of its characters in links. Text inside elements that hold no article text is left out at once; of elements
+    whose name leaves it open, when the page is read and at least half of their text is in links."""
 
     def __init__(self, source: str):
         self.elements: list[_Element] = []
@@ -103,6 +125,18 @@ class Page:
                 end = RAW[tag].search(source, at)
                 at = end.start() if end else n
         self._flush()
+        if any(e.doubtful for e in self.elements):
+            self._judge()
+
+    def _judge(self) -> None:
+        plain: Counter = Counter()
+        for text, place, linked in self.blocks:
+            for e in place:
+                if e.doubtful:
+                    plain[e] += len(text) - 2 * linked
+        for e, n in plain.items():
+            e.away = e.away or n <= 0
+        self.blocks = [b for b in self.blocks if not any(e.doubtful and e.away for e in b[1])]
 
     def _text(self, text: str) -> None:
         if self.stack and self.stack[-1].away:
@@ -147,10 +181,10 @@ class Page:
             self._text(" ")
         if tag in VOID:
             return
-        name, away = _names(tag, attributes)
+        name, away, doubtful = _names(tag, attributes)
         up = self.stack[-1] if self.stack else None
         path = name if up is None or up.path in ("", "html") or tag == "body" else f"{up.path}/{name}" if tag in BLOCKS or tag in CONTAINERS else up.path
-        element = _Element(tag, path, away or up is not None and up.away, tag == "a" or up is not None and up.linked, len(self.stack))
+        element = _Element(tag, path, away or up is not None and up.away, tag == "a" or up is not None and up.linked, len(self.stack), doubtful)
         self.stack.append(element)
         self.elements.append(element)
 

@@ -84,3 +84,21 @@ def test_whole_article(spark, body, text):
     want = "\n".join(" ".join(t.split()) for t in text)
     found = extract(spark.createDataFrame([(i, f"http://h/{i}", PAGE % body) for i in range(2)], SCHEMA)).collect()
     assert [r["text"] for r in found] == [want] * 2
+
+
+LINKS = "<ul><li><a href='/1'>one other page</a></li><li><a href='/2'>another page</a></li></ul>"
+
+
+@pytest.mark.parametrize(
+    ("body", "text"),
+    [
+        (f"<h2 id='related-work'>Related work</h2><p>{A}</p><h2 id='social-impact'>Impact</h2><p id='search-results-2'>{B}</p>", ["Related work", A, "Impact", B]),
+        (f"<p>{A}</p><section id='discussion'><h2>Discussion</h2><p>{B}</p></section>", [A, "Discussion", B]),
+        (f"<p>{A}</p><div class='alert alert-info'><p>{B}</p></div><section id='comments-on-method'><p>{B}</p></section><p>see <span class='comment'># code</span></p>", [A, B, B, "see # code"]),
+        (f"<p>{A}</p><div id='related'>{LINKS}</div><div id='related-posts'>{LINKS}</div><div id='social'>{LINKS}</div><div class='search'>{LINKS}</div>", [A]),
+        (f"<p>{A}</p><div id='comments-area'>no</div><div id='sidebar-2'>no</div><ul class='share-list'><li>no</li></ul><div role='search'>no</div>", [A]),
+    ],
+)
+def test_names_of_parts(body, text):
+    """An anchor to a part of the article doesn't drop it; parts made of links go."""
+    assert Page(PAGE % f"<article>{body}</article>").text("body/article") == "\n".join(" ".join(t.split()) for t in text)
