@@ -1,7 +1,7 @@
 """Surrogates for personal data, in DataFrame operations only.
 
-Mentions are found by one pattern. A mention stands for one entity, or for two in a name (given name
-and surname); its canonical form makes different spellings one entity. An entity's surrogate comes
+Mentions are found by one pattern. A mention stands for one entity, or in a name for one by word (given
+names and surname); its canonical form makes different spellings one entity. An entity's surrogate comes
 from a keyed hash of its canonical form, keeps its kind, length, character classes, gender and
 script, and is the same wherever the entity occurs. A check over all entities sees to it that no
 two share a surrogate and that no surrogate is an entity of the corpus; those that fail are hashed
@@ -13,13 +13,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import given_names
 from .common import join_skewed, restored, shielded, stored
 
 FEMALE_TITLES = ("Mrs", "Ms", "Miss", "Madam", "Frau", "Mme", "Madame", "Mlle", "Sra", "Señora", "Doña", "Госпожа", "Κυρία")
 MALE_TITLES = ("Mr", "Sir", "Herr", "Monsieur", "Sr", "Señor", "Господин", "Κύριος")
 OTHER_TITLES = ("Dr", "Prof", "Professor")
-FEMALE = ("Mary", "Patricia", "Jennifer", "Elizabeth", "Barbara", "Susan", "Jessica", "Sarah", "Karen", "Margaret", "Emily", "Charlotte", "Ursula", "Sabine", "Monika", "Claudia", "Françoise", "Nathalie", "Isabelle", "Camille", "María", "Carmen", "Lucía", "Dolores", "Анна", "Мария", "Елена", "Ольга", "Μαρία", "Ελένη")
-MALE = ("James", "Robert", "Michael", "William", "David", "Richard", "Joseph", "Thomas", "Charles", "Daniel", "Matthew", "Anthony", "Jürgen", "Wolfgang", "Stefan", "Dieter", "François", "Philippe", "Nicolas", "Olivier", "José", "Antonio", "Manuel", "Francisco", "Иван", "Сергей", "Дмитрий", "Алексей", "Γιώργος", "Νίκος")
+FEMALE = ("Mary", "Patricia", "Jennifer", "Elizabeth", "Barbara", "Susan", "Jessica", "Sarah", "Karen", "Margaret", "Emily", "Charlotte", "Ursula", "Sabine", "Monika", "Claudia", "Françoise", "Nathalie", "Isabelle", "Camille", "María", "Carmen", "Lucía", "Dolores", "Анна", "Мария", "Елена", "Ольга", "Μαρία", "Ελένη", *given_names.FEMALE)
+MALE = ("James", "Robert", "Michael", "William", "David", "Richard", "Joseph", "Thomas", "Charles", "Daniel", "Matthew", "Anthony", "Jürgen", "Wolfgang", "Stefan", "Dieter", "François", "Philippe", "Nicolas", "Olivier", "José", "Antonio", "Manuel", "Francisco", "Иван", "Сергей", "Дмитрий", "Алексей", "Γιώργος", "Νίκος", *given_names.MALE)
+#: Words that may stand before a surname in small letters.
+PARTICLES = ("van", "von", "vom", "zu", "zum", "zur", "der", "den", "dem", "ter", "ten", "de", "del", "della", "delle", "dei", "di", "da", "do", "dos", "das", "du", "des", "la", "las", "le", "los", "y", "af", "av", "bin", "ibn", "bint", "al", "el", "ben")
 #: Surrogate names of the first attempt, and the syllables and endings of the later ones, by script.
 GIVEN = {
     ("latin", "f"): ("Alice", "Helen", "Laura", "Nora", "Clara", "Julia", "Martha", "Irene", "Paula", "Vera", "Emma", "Ruth", "Diana", "Sylvia", "Louise", "Rosa"),
@@ -44,9 +47,26 @@ ATTEMPTS = 24
 LONGER_FROM = 11
 
 _titles = "|".join((*FEMALE_TITLES, *MALE_TITLES, *OTHER_TITLES))
-_given = "|".join((*FEMALE, *MALE))
-_name = r"\p{Lu}[\p{L}'’-]*\p{L}"
-NAME = rf"(?<![\p{{L}}\p{{N}}])(?=\p{{Lu}})(?:(?:{_titles})\.? {_name}(?: {_name})?|(?:{_given}) {_name})(?![\p{{L}}\p{{N}}])"
+
+
+def _one_of(words: tuple[str, ...] | list[str]) -> str:
+    """A pattern for any of the words that looks at each letter once, however many there are."""
+    heads: dict[str, list[str]] = {}
+    for w in set(words):
+        if w:
+            heads.setdefault(w[0], []).append(w[1:])
+    branches = [head + _one_of(tails) for head, tails in sorted(heads.items())]
+    out = f"(?:{'|'.join(branches)})" if len(branches) > 1 or "" in words else "".join(branches)
+    return f"{out}?" if "" in words and branches else "" if not branches else out
+
+
+_given = _one_of([*FEMALE, *MALE, *given_names.NEUTRAL])
+_before = rf"(?:(?:{'|'.join(PARTICLES)}) )*+"
+_name = r"\p{Lu}[\p{L}'’-]*\p{L}(?![\p{L}\p{N}])"
+_word = rf"{_before}(?:{_name}|\p{{Lu}}\.(?= {_before}(?:\p{{Lu}}\. )*+\p{{Lu}}\p{{L}}))"
+#: A title or a given name, and all words of a name that follow. Possessive: the engine doesn't
+#: recurse, so a name may be of any length.
+NAME = rf"(?<![\p{{L}}\p{{N}}])(?=\p{{Lu}})(?:(?:(?:{_titles})\.? )++{_word}|{_given}(?:-\p{{Lu}}\p{{L}}+)*+ {_word})(?: {_word})*+"
 _octet = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
@@ -88,17 +108,21 @@ def _parts(mention: Column, kind: Column) -> Column:
     def part(lead: Column, k: Column, canon: Column, shown: Column) -> Column:
         return F.struct(lead.alias("lead"), k.alias("kind"), canon.alias("canon"), shown.alias("shown"))
 
-    words = F.split(mention, " ")
-    first = F.regexp_replace(words[0], r"\.$", "")
-    titled = first.isin(*FEMALE_TITLES, *MALE_TITLES, *OTHER_TITLES)
-    gender = F.when(first.isin(*FEMALE_TITLES, *FEMALE), F.lit("f")).when(first.isin(*MALE_TITLES, *MALE), F.lit("m"))
-    names = F.when(titled, F.slice(words, 2, 9)).otherwise(words)
-    own = F.when(names[0].isin(*FEMALE), F.lit("f")).when(names[0].isin(*MALE), F.lit("m"))
-    lead = F.when(titled, F.concat(words[0], F.lit(" "))).otherwise(F.lit(""))
-    given_kind = F.concat(F.lit("given:"), _script(names[0]), F.lit(":"), F.coalesce(gender, own, F.lit("n")))
-    surname = F.element_at(names, -1)
-    surname_kind = F.concat(F.lit("surname:"), _script(surname))
-    named = F.when(F.size(names) > 1, F.array(part(lead, given_kind, names[0], names[0]), part(F.lit(" "), surname_kind, surname, surname))).otherwise(F.array(part(lead, surname_kind, surname, surname)))
+    titles = F.regexp_extract(mention, rf"^(?:(?:{_titles})\.? )*", 0)
+    gender = F.when(titles.rlike(rf"^(?:{'|'.join(FEMALE_TITLES)})\b|\s(?:{'|'.join(FEMALE_TITLES)})\b"), F.lit("f")).when(titles.rlike(rf"^(?:{'|'.join(MALE_TITLES)})\b|\s(?:{'|'.join(MALE_TITLES)})\b"), F.lit("m"))
+    names = F.regexp_extract_all(F.substring(mention, F.length(titles) + 1, F.length(mention)), F.lit(rf"{_before}[^ ]+"), F.lit(0))
+    women, men = [tuple(set(a) - given_names.NEUTRAL) for a in (FEMALE, MALE)]
+
+    def named_part(name: Column, i: Column, names: Column) -> Column:
+        before = F.regexp_extract(name, f"^{_before}", 0)
+        word = F.substring(name, F.length(before) + 1, F.length(name))
+        first = F.substring_index(word, "-", 1)
+        own = F.when(first.isin(*women), F.lit("f")).when(first.isin(*men), F.lit("m"))
+        k = F.when(i == F.size(names) - 1, F.concat(F.lit("surname:"), _script(word))).otherwise(F.concat(F.lit("given:"), _script(word), F.lit(":"), F.coalesce(gender, own, F.lit("n"))))
+        return part(F.concat(F.when(i == 0, titles).otherwise(F.lit(" ")), before), k, word, word)
+
+    # bound once: the size of a name of very many words is not found anew for each of them
+    named = F.transform(F.array(names), lambda ns: F.transform(ns, lambda name, i: named_part(name, i, ns)))[0]
     empty = F.lit("")
     return (
         F.when(kind == "name", named)

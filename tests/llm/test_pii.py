@@ -55,3 +55,15 @@ def test_names_keep_gender_and_hot_entities(spark):
     assert len(set(given.values())) == 20
     women = [n for k, n in given.items() if k < 10]
     assert all(n in GIVEN["latin", "f"] or n.endswith("a") for n in women)
+
+
+def test_whole_names(spark):
+    """Names without a title, of more than two words, with particles, initials and several titles."""
+    text = "John Smith, Linda Brown, Hans Müller; Mr. John Paul Smith and Mary Ann Jones met Mr. Jones, Vincent van Gogh, Frau von der Leyen, Prof. Dr. Jean-Pierre Dupont, Mary J. Jones, Светлана Петрова and Κώστας Παπάς. The end"
+    found = replace_pii(documents(spark, (1, text, "s"), (2, "Mary " + "Word " * 3_000 + "ends", "s"), (3, "Mary Jones2 was here, and Johnny went to The Hague", "s"))).collect()
+    rows = {r["doc_id"]: r for r in found}
+    new = rows[1]["text"]
+    assert not [n for n in re.findall(r"\w+", text) if n[0].isupper() and n not in ("Mr", "Frau", "Prof", "Dr", "The") and re.search(rf"\b{n}\b", new)]
+    m = re.fullmatch(r"\w+ (\w+), \w+ \w+, \w+ \w+; Mr\. \w+ \w+ (\w+) and \w+ \w+ (\w+) met Mr\. (\w+), \w+ van \w+, Frau von der \w+, Prof\. Dr\. \w+ \w+, \w+ \w+ (\w+), [А-я]+ [А-я]+ and [Ͱ-Ͽἀ-῿]+ [Ͱ-Ͽἀ-῿]+\. The end", new)
+    assert m and m[1] == m[2] and m[3] == m[4] == m[5] and rows[1]["n_replaced"] == 12
+    assert "Word" not in rows[2]["text"] and rows[3]["n_replaced"] == 0
