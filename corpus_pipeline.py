@@ -14,16 +14,15 @@ from ternary_rules.llm import language_id, line_dedup, mixing, sentencepiece_cod
 from ternary_rules.llm.common import stored
 
 MODEL = "piece_bpe_32k.model"
-#: Posterior of the predicted language below which a document is rejected.
-LEAST_SCORE = 0.5
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, and those whose language stays open, go. A null lang is filled in
-    with the prediction."""
+    """Documents without letters, and those that no learned language explains better than letters
+    drawn at random, go. A short text that several languages share stays. A null lang is filled in with
+    the prediction."""
     path = public_tokenizers.path(MODEL)
-    model = language_id.fit(docs, path)
-    kept = language_id.predict(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    model = language_id.fit(docs, path, background=True)
+    kept = language_id.predict(docs, model).where((F.col("lang_pred") != "und") & (F.col("__margin") >= 0))
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 

@@ -34,6 +34,10 @@ SMOOTHING = 0.2
 MEMO_WORDS = 600_000
 #: A factor per letter that keeps products near 1; it cancels out.
 LIFT = 40.0
+#: Share of a language's letters that its alphabet covers; the rest are strays of other languages.
+ALPHABET_SHARE = 0.999
+#: Nats that a text may fall short of the background by, about those of one word never seen.
+SLACK = 15.0
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -157,15 +161,22 @@ def held_out(doc_id: Column) -> Column:
 
 
 class LanguageModel:
-    def __init__(self, languages: list[str], p: np.ndarray, model_path: str):
-        self.languages, self.p, self.model_path = languages, p, model_path
+    def __init__(self, languages: list[str], p: np.ndarray, model_path: str, background: np.ndarray | None = None):
+        self.languages, self.p, self.model_path, self.background = languages, p, model_path, background
 
 
-def fit(docs: DataFrame, model_path: str, fit_docs: int = FIT_DOCS, rounds: int = EM_ROUNDS) -> LanguageModel:
+def _background(words: DataFrame, columns: list[str]) -> np.ndarray:
+    """By language, the log probability of a letter, or of a word's start, if all are alike."""
+    counts = words.select(F.explode(F.split("word", "")).alias("c"), *columns).where("c <> ''").groupBy("c").agg(*[F.sum(k).alias(k) for k in columns]).toPandas()[columns].to_numpy(dtype=float)
+    share = np.cumsum(-np.sort(-counts, axis=0), axis=0) / np.maximum(counts.sum(axis=0), 1.0)
+    return -np.log((share < ALPHABET_SHARE).sum(axis=0) + 2.0)
+
+
+def fit(docs: DataFrame, model_path: str, fit_docs: int = FIT_DOCS, rounds: int = EM_ROUNDS, background: bool = False) -> LanguageModel:
     """Learns from rows of docs (text, lang, doc_id) with a lang that are not held out: of each
     language the fit_docs documents with the least hash of doc_id, ties by order of ids. The words
     of the sample are counted in Spark, each round's expectation too; the driver gets one number
-    for each piece and language."""
+    for each piece and language. background: learn that too, which predict needs for a margin."""
     spark = docs.sparkSession
     small_batches(spark)
     labelled = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
@@ -178,7 +189,7 @@ def fit(docs: DataFrame, model_path: str, fit_docs: int = FIT_DOCS, rounds: int
     languages = sorted(bounds, key=lambda x: x.encode())
     vocab = vocabulary(model_path)
     if not languages:
-        return LanguageModel([], np.zeros((vocab.size + 1, 0)), model_path)
+        return LanguageModel([], np.zeros((vocab.size + 1, 0)), model_path, np.zeros(0) if background else None)
     inside = F.lit(False)
     for lang, h in bounds.items():
         inside = inside | ((F.col("lang") == lang) & (F.col("h") <= F.lit(h)))
@@ -212,7 +223,7 @@ def fit(docs: DataFrame, model_path: str, fit_docs: int = FIT_DOCS, rounds: int
         counts += SMOOTHING
         p[:-1] = counts / counts.sum(axis=0)
         p = p.copy()
-    return LanguageModel(languages, p, model_path)
+    return LanguageModel(languages, p, model_path, _background(words, columns) if background else None)
 
 
 class _Memo:
@@ -237,25 +248,27 @@ _memos: dict[str, _Memo] = {}
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """docs, all columns, with lang_pred and score (0 to 1, the language's posterior with equal
     priors) added. Only the text is read: lang_pred is `und` with score 0 if it is null or has no
-    letter, or if nothing was learned. Ties go to the language first in code point order."""
+    letter, or if nothing was learned. Ties go to the language first in code point order. With a
+    model's background, __margin too: the nats by which the language explains the text better than
+    letters drawn at random, with SLACK added; below 0 the text is in no language that was learned."""
     spark = docs.sparkSession
     small_batches(spark)
     own_names, docs = docs.columns, shielded(docs, ("text",))
-    shipped = spark.sparkContext.broadcast((model.languages, model.p))  # languages x pieces: bounded
+    shipped = spark.sparkContext.broadcast((model.languages, model.p, model.background))  # languages x pieces: bounded
     path = model.model_path
     token = f"{id(shipped)}-{abs(hash(model.p.tobytes()))}"
     names = docs.columns
     at_text = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        languages, p = shipped.value
+        languages, p, background = shipped.value
         vocab = vocabulary(path)
         if token not in _memos:
             _memos.clear()
             _memos[token] = _Memo(len(languages))
         memo = _memos[token]
         for batch in batches:
-            predicted, score = [], []
+            predicted, score, margin = [], [], []
             split = [words_of(t or "") for t in batch.column(at_text).to_pylist()]
             a = 0
             while a < len(split):
@@ -269,16 +282,23 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
                     if not own or not languages:
                         predicted.append("und")
                         score.append(0.0)
+                        margin.append(-1.0)
                         continue
                     total = memo.rows[[at[w] for w in own]].sum(axis=0)
                     best = int(np.argmax(total))
                     predicted.append(languages[best])
                     score.append(float(1.0 / np.exp(total - total[best]).sum()))
+                    if background is not None:
+                        margin.append(float(total[best] - background[best] * sum(len(w) + 1 for w in own)) + SLACK)
                 a = b
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(predicted, pa.string()), pa.array(score, pa.float64())], names=[*names, "lang_pred", "score"])
-
-    found = docs.mapInArrow(run, StructType(list(docs.schema.fields)).add("lang_pred", "string").add("score", "double"))
-    return restored(found, own_names, ("text",), ("lang_pred", "score"))
+            more = [] if background is None else [pa.array(margin, pa.float64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(predicted, pa.string()), pa.array(score, pa.float64()), *more], names=[*names, *added])
+
+    added = ["lang_pred", "score"] if model.background is None else ["lang_pred", "score", "__margin"]
+    schema = StructType(list(docs.schema.fields)).add("lang_pred", "string")
+    for name in added[1:]:
+        schema = schema.add(name, "double")
+    return restored(docs.mapInArrow(run, schema), own_names, ("text",), tuple(added))
 
 
 def identify(docs: DataFrame, model_path: str, fit_docs: int = FIT_DOCS) -> DataFrame:

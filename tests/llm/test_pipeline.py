@@ -47,6 +47,17 @@ def test_stages(spark, folder):
     assert len(seen["sentencepiece"]) == len(seen["mixing"])
 
 
+def test_language_stage(spark, folder):
+    """Long texts in a language that was not learned, and random letters, go; short clean ones stay."""
+    rng = random.Random(5)
+    letters = " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(60))
+    finnish = "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto " * 5
+    more = spark.createDataFrame([(300, letters, None, "s", 0), (301, finnish, None, "s", 0), (302, "in", None, "s", 0), (303, "une maison", None, "s", 0)], DOCS)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    found = corpus_pipeline.keep_known_languages(spark, docs.select(*more.columns).unionByName(more), folder)
+    assert {r["doc_id"] for r in found.collect()} == {*range(90), 202, 302, 303}
+
+
 def test_run(spark, folder):
     found = corpus_pipeline.run(spark, folder)
     assert found.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and found.count() > 90
