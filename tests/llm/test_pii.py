@@ -67,3 +67,9 @@ def test_whole_names(spark):
     m = re.fullmatch(r"\w+ (\w+), \w+ \w+, \w+ \w+; Mr\. \w+ \w+ (\w+) and \w+ \w+ (\w+) met Mr\. (\w+), \w+ van \w+, Frau von der \w+, Prof\. Dr\. \w+ \w+, \w+ \w+ (\w+), [А-я]+ [А-я]+ and [Ͱ-Ͽἀ-῿]+ [Ͱ-Ͽἀ-῿]+\. The end", new)
     assert m and m[1] == m[2] and m[3] == m[4] == m[5] and rows[1]["n_replaced"] == 12
     assert "Word" not in rows[2]["text"] and rows[3]["n_replaced"] == 0
+
+
+def test_keys_without_digits(spark):
+    keys = ["sk-" + "abcdefghij" * 2, "ghp_" + "abcdef" * 6, "AKIA" + "ABCDEFGH" * 2]
+    found = replace_pii(documents(spark, *[(i, f"the key {k} here", "s") for i, k in enumerate(keys)])).collect()
+    assert [r["n_replaced"] for r in found] == [1] * 3 and not [k for k in keys for r in found if k in r["text"]]
