@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 #: The white space of the word contracts: space and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows of one Arrow batch; long texts make larger batches costly.
-BATCH_ROWS = 1024
+#: Rows and bytes of one Arrow batch; a single longer text is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 1024, 16 << 20
 
 _own_dir: str | None = None
+_written: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,17 +26,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the rows that one Arrow batch carries to Python, for texts of any length."""
+    """Bounds the rows and bytes that one Arrow batch carries to Python, for texts of any length."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; where it is unset (tests), one of our own."""
+    """The folder that spark.checkpoint.dir names; where it is unset and Spark is local (tests), one
+    of our own. On a cluster executors would not share that, so there the setting is needed."""
     global _own_dir
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="ternary_rules_")
         atexit.register(shutil.rmtree, _own_dir, ignore_errors=True)
@@ -47,10 +52,26 @@ def stored(df: DataFrame, path: str | None = None) -> DataFrame:
     lost executor costs no more than the reading of some files."""
     spark = df.sparkSession
     path = path or f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(discard_all)
+    _written.append(path)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard_all() -> None:
+    """Deletes all tables that stored() wrote; nothing that reads them may be pending. Runs at exit."""
+    spark = SparkSession.getActiveSession()
+    paths, _written[:] = list(_written), []
+    try:
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for p in paths:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(conf).delete(path, True)
+    except Exception:  # noqa: BLE001  the session is gone already; its folder stays with the cluster
+        return
+
+
 def discard(df: DataFrame) -> None:
     """Deletes the files of a stored() table that nothing will read again."""
     spark = df.sparkSession

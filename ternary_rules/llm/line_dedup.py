@@ -3,7 +3,8 @@
 State: an exact reference table with one signed row per line key and document, and cuckoo filters
 sharded by key. An insertion asks its shard's filter first; only keys that may be known are looked
 up in the exact table. A deletion adds negative rows and takes keys that no document holds any
-more out of the filters. What is dropped follows from the exact table alone.
+more out of the filters. A filter that gets full is built anew, twice as large, from the exact
+table. dedup() builds its index by several insertions, a deletion and its reversal.
 """
 
 from __future__ import annotations
@@ -35,114 +36,113 @@ def line_key(line: bytes, min_chars: int) -> bytes | None:
 
 
 class CuckooFilter:
-    """Buckets of four 16-bit fingerprints. When one table is full another, twice as large, joins it."""
+    """One table of buckets of four 16-bit fingerprints, and a stash of whole keys that found no
+    room. Keys of one fingerprint that share a bucket share both, so taking any such entry away
+    when a key goes never hides another key. A fuller filter is built anew from its keys."""
 
-    SLOTS, KICKS, FULL = 4, 60, 0.9
+    SLOTS, KICKS, FULL = 4, 60, 0.85
 
     def __init__(self, capacity: int = 256):
-        self.tables = [self._empty(capacity)]
+        self.table = np.zeros((1 << max(4, int(np.ceil(np.log2(max(capacity, 1) / self.SLOTS / self.FULL)))), self.SLOTS), dtype=np.uint16)
+        self.stash = np.empty(0, dtype=np.int64)
 
-    def _empty(self, capacity: int) -> np.ndarray:
-        return np.zeros((1 << max(4, int(np.ceil(np.log2(capacity / self.SLOTS / 0.8)))), self.SLOTS), dtype=np.uint16)
+    @property
+    def room(self) -> int:
+        """Keys that it should hold at most."""
+        return int(self.FULL * self.table.size)
 
-    @staticmethod
-    def _print(lo: np.ndarray) -> np.ndarray:
+    def _places(self, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         fp = (lo.astype(np.uint64) >> np.uint64(48)).astype(np.uint16)
-        return np.where(fp == 0, np.uint16(1), fp)
+        fp = np.where(fp == 0, np.uint16(1), fp)
+        first = (lo.astype(np.uint64) & np.uint64(len(self.table) - 1)).astype(np.int64)
+        return fp, first, self._other(first, fp)
 
-    @staticmethod
-    def _other(bucket: np.ndarray, fp: np.ndarray, mask: int) -> np.ndarray:
-        return bucket ^ ((fp.astype(np.int64) * 0x5BD1E995) & mask)
-
-    def _places(self, lo: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        fp, mask = self._print(lo), len(table) - 1
-        first = (lo.astype(np.uint64) & np.uint64(mask)).astype(np.int64)
-        return fp, first, self._other(first, fp, mask)
+    def _other(self, bucket: np.ndarray, fp: np.ndarray) -> np.ndarray:
+        return bucket ^ ((fp.astype(np.int64) * 0x5BD1E995) & (len(self.table) - 1))
 
     def contains(self, lo: np.ndarray) -> np.ndarray:
-        found = np.zeros(len(lo), dtype=bool)
-        for table in self.tables:
-            fp, a, b = self._places(lo, table)
-            found |= (table[a] == fp[:, None]).any(axis=1) | (table[b] == fp[:, None]).any(axis=1)
-        return found
+        fp, a, b = self._places(lo)
+        found = (self.table[a] == fp[:, None]).any(axis=1) | (self.table[b] == fp[:, None]).any(axis=1)
+        return found | np.isin(lo, self.stash) if len(self.stash) else found
 
     def add(self, lo: np.ndarray) -> None:
-        """Adds distinct keys, all at once: as many as fit go to their buckets, and of each full
-        bucket one fingerprint moves on to its other bucket, round after round."""
-        table = self.tables[-1]
-        if (np.count_nonzero(table) + len(lo)) > self.FULL * table.size:
-            table = self._empty(max(2 * table.size, 2 * len(lo)))
-            self.tables.append(table)
-        mask = len(table) - 1
-        fp, bucket, _ = self._places(lo, table)
+        """Adds keys, one entry each. If the moves of one round of all keys don't end,
+        the table is put back and each half tried alone, down to single keys, which are stashed."""
+        before = self.table.copy()
+        if not len(lo) or self._place(lo):
+            return
+        self.table = before
+        if len(lo) == 1:
+            self.stash = np.r_[self.stash, lo]
+            return
+        self.add(lo[: len(lo) // 2])
+        self.add(lo[len(lo) // 2 :])
+
+    def _place(self, lo: np.ndarray) -> bool:
+        """As many as fit go to their buckets, and of each full bucket one fingerprint moves on to
+        its other bucket, round after round. Tells whether all found room."""
+        table = self.table
+        fp, bucket, _ = self._places(lo)
         rng = np.random.default_rng(len(lo))
         for _ in range(self.KICKS):
-            if not len(fp):
-                return
             order = np.argsort(bucket, kind="stable")
             fp, bucket = fp[order], bucket[order]
-            starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-            nth = np.arange(len(bucket)) - np.repeat(starts, np.diff(np.r_[starts, len(bucket)]))
+            nth = _nth(bucket)
             free = table == 0
-            open_ = free.sum(axis=1)[bucket]
-            fits = nth < open_
+            fits = nth < free.sum(axis=1)[bucket]
             slot = np.argsort(~free[bucket[fits]], axis=1, kind="stable")[np.arange(fits.sum()), nth[fits]]
             table[bucket[fits], slot] = fp[fits]
             fp, bucket = fp[~fits], bucket[~fits]
             if not len(fp):
-                return
+                return True
             first = np.r_[True, bucket[1:] != bucket[:-1]]
             at, slot = bucket[first], rng.integers(0, self.SLOTS, first.sum())
             out = table[at, slot].copy()
             table[at, slot] = fp[first]
             fp = np.r_[out, fp[~first]]
-            bucket = self._other(np.r_[at, bucket[~first]], fp, mask)
-        # no room after all: what is left goes to a further table
-        self._spill(fp, bucket, table)
-
-    def _spill(self, fp: np.ndarray, bucket: np.ndarray, full: np.ndarray) -> None:
-        """Fingerprints whose keys are gone: the low bits of a key are known up to the table's mask
-        only, so they stay beside the tables, as pairs of bucket and fingerprint of that table."""
-        extra = np.zeros((len(full), self.SLOTS), dtype=np.uint16)
-        for f, b in zip(fp, bucket, strict=True):
-            for at in (b, int(self._other(np.array([b]), np.array([f]), len(full) - 1)[0])):
-                hole = np.flatnonzero(extra[at] == 0)
-                if len(hole):
-                    extra[at, hole[0]] = f
-                    break
-            else:
-                raise RuntimeError("the filter cannot hold its keys")
-        self.tables.insert(len(self.tables) - 1, extra)
+            bucket = self._other(np.r_[at, bucket[~first]], fp)
+        return False
 
     def remove(self, lo: np.ndarray) -> None:
-        """Takes out keys that were added before."""
-        for key in lo:
-            for table in self.tables:
-                fp, a, b = self._places(np.array([key]), table)
-                at = next(((i, s) for i in (int(a[0]), int(b[0])) for s in np.flatnonzero(table[i] == fp[0])), None)
-                if at:
-                    table[at] = 0
-                    break
+        """Takes out one entry of each key; all must be in it."""
+        if len(self.stash):
+            stashed = np.isin(lo, self.stash)
+            self.stash, lo = self.stash[~np.isin(self.stash, lo)], lo[~stashed]
+        fp, a, b = self._places(lo)
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        order = np.lexsort((fp, low))
+        fp, low, high = fp[order], low[order], high[order]
+        nth = _nth(low * 65536 + fp)
+        own = np.concatenate([self.table[low], self.table[high]], axis=1) == fp[:, None]
+        own[low == high, self.SLOTS :] = False
+        hit = own & (own.cumsum(axis=1) == nth[:, None] + 1)
+        if not hit.any(axis=1).all():
+            raise ValueError("a key to be removed is not in the filter")
+        slot = hit.argmax(axis=1)
+        self.table[np.where(slot < self.SLOTS, low, high), slot % self.SLOTS] = 0
 
     def __len__(self) -> int:
-        return int(sum(np.count_nonzero(t) for t in self.tables))
+        return int(np.count_nonzero(self.table)) + len(self.stash)
 
     def to_bytes(self) -> bytes:
-        head = np.array([len(self.tables), *[len(t) for t in self.tables]], dtype="<i8")
-        return head.tobytes() + b"".join(t.astype("<u2").tobytes() for t in self.tables)
+        return np.array([len(self.table)], dtype="<i8").tobytes() + self.table.astype("<u2").tobytes() + self.stash.astype("<i8").tobytes()
 
     @classmethod
     def from_bytes(cls, raw: bytes) -> CuckooFilter:
         out = cls.__new__(cls)
-        n = int(np.frombuffer(raw, "<i8", 1)[0])
-        at, out.tables = 8 * (n + 1), []
-        for rows in np.frombuffer(raw, "<i8", n, 8).tolist():
-            out.tables.append(np.frombuffer(raw, "<u2", rows * cls.SLOTS, at).reshape(rows, cls.SLOTS).astype(np.uint16))
-            at += 2 * rows * cls.SLOTS
+        rows = int(np.frombuffer(raw, "<i8", 1)[0])
+        out.table = np.frombuffer(raw, "<u2", rows * cls.SLOTS, 8).reshape(rows, cls.SLOTS).astype(np.uint16)
+        out.stash = np.frombuffer(raw, "<i8", -1, 8 + 2 * rows * cls.SLOTS).astype(np.int64)
         return out
 
 
-FILTERS = "shard int, filter binary, n_keys long"
+def _nth(values: np.ndarray) -> np.ndarray:
+    """The place of each value among its equals; values are sorted."""
+    starts = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])[: len(values)]
+    return np.arange(len(values)) - np.repeat(starts, np.diff(np.r_[starts, len(values)]))
+
+
+FILTERS = "shard int, filter binary, n_keys long, room long"
 
 
 def _probe(keys: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
@@ -153,14 +153,17 @@ def _probe(keys: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
 
 
 def _update(keys: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
+    """The filter of one shard after its changes: new keys, keys gone, or all its keys (`whole`)."""
     new = keys.loc[keys["added"], "lo"].to_numpy() if len(keys) else np.empty(0, dtype=np.int64)
-    own = CuckooFilter.from_bytes(filters["filter"].iloc[0]) if len(filters) else CuckooFilter(max(256, len(new)))
-    if len(new):
-        own.add(new)
+    if len(filters) and not (len(keys) and keys["whole"].any()):
+        own = CuckooFilter.from_bytes(filters["filter"].iloc[0])
+    else:
+        own = CuckooFilter(max(256, 2 * len(new)))
+    own.add(new)
     if len(keys) and not keys["added"].all():
         own.remove(keys.loc[~keys["added"], "lo"].to_numpy())
     shard = int((keys if len(keys) else filters)["shard"].iloc[0])
-    return pd.DataFrame({"shard": [shard], "filter": [own.to_bytes()], "n_keys": [len(own)]})
+    return pd.DataFrame({"shard": [shard], "filter": [own.to_bytes()], "n_keys": [len(own)], "room": [own.room]})
 
 
 class LineIndex:
@@ -169,7 +172,8 @@ class LineIndex:
     def __init__(self, spark: SparkSession, path: str | None = None, min_chars: int = 10, shards: int | None = None):
         self.spark, self.min_chars, self.shards = spark, min_chars, shards
         self.path = path or f"{shared_dir(spark)}/stored-lines-{uuid.uuid4().hex}"
-        self.refs: list[DataFrame] = []
+        #: Tables (doc_id, hi, lo) with their sign: 1 for references added, -1 for those taken back.
+        self.refs: list[tuple[DataFrame, int]] = []
         self.filters: DataFrame | None = None
 
     def line_refs(self, docs: DataFrame) -> DataFrame:
@@ -197,24 +201,38 @@ class LineIndex:
         """(doc_id, hi, lo) of all references that stand."""
         if not self.refs:
             return self.spark.createDataFrame([], "doc_id long, hi long, lo long")
-        if len(self.refs) == 1:
-            return self.refs[0].drop("sign")
-        return union(self.refs).groupBy("doc_id", "hi", "lo").agg(F.sum("sign").alias("n")).where("n > 0").drop("n")
+        rows = union([r.withColumn("sign", F.lit(s)) for r, s in self.refs])
+        if all(s > 0 for _, s in self.refs):  # an insertion adds only what is not live
+            return rows.drop("sign")
+        return rows.groupBy("doc_id", "hi", "lo").agg(F.sum("sign").alias("n")).where("n > 0").drop("n")
 
     def counts(self) -> DataFrame:
         """(hi, lo, refs, keeper): how many documents hold the key, and the least doc_id of them."""
         return self.live().groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("refs"), F.min("doc_id").alias("keeper"))
 
     def _write_filters(self, changed: DataFrame) -> None:
-        """changed: (hi, lo, added), each key once."""
-        keys = self._sharded(changed)
-        filters = self.filters if self.filters is not None else self.spark.createDataFrame([], FILTERS)
+        """changed: (hi, lo, added), each key once. self.refs has the change already."""
+        keys = self._sharded(changed).withColumn("whole", F.lit(False))
+        if self.filters is None:
+            filters = self.spark.createDataFrame([], FILTERS)
+        else:
+            filters = self.filters
+            keys = stored(keys, f"{self.path}/changed-{uuid.uuid4().hex}")
+            more = keys.where("added").groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
+            full = stored(more.join(filters.select("shard", "n_keys", "room"), "shard").where("n_keys + n > room").select("shard"))
+            if not full.isEmpty():
+                all_ = self._sharded(self.live().select("hi", "lo").distinct()).join(full, "shard", "left_semi")
+                anew = all_.select("hi", "lo", F.lit(True).alias("added"), "shard", F.lit(True).alias("whole"))
+                keys = keys.join(full, "shard", "left_anti").select(anew.columns).unionByName(anew)
         new = keys.groupBy("shard").cogroup(filters.groupBy("shard")).applyInPandas(_update, FILTERS)
         self.filters = stored(new, f"{self.path}/filters-{uuid.uuid4().hex}")
 
     def insert(self, docs: DataFrame) -> LineIndex:
         """Adds documents; those that the index holds already gain nothing."""
-        batch = stored(self.line_refs(docs).distinct(), f"{self.path}/batch-{uuid.uuid4().hex}")
+        return self.insert_refs(stored(self.line_refs(docs).distinct(), f"{self.path}/batch-{uuid.uuid4().hex}"))
+
+    def insert_refs(self, batch: DataFrame) -> LineIndex:
+        """Adds the references of a stored table (doc_id, hi, lo), each of them once."""
         if self.shards is None:
             self.shards = int(min(MAX_SHARDS, max(1, -(-batch.count() // SHARD_KEYS))))
         keys = batch.select("hi", "lo").distinct()
@@ -226,10 +244,9 @@ class LineIndex:
             maybe = probed.where("maybe").select("hi", "lo")
             held = stored(self.live().join(maybe, ["hi", "lo"], "left_semi"), f"{self.path}/held-{uuid.uuid4().hex}")
             new_keys = probed.where("not maybe").select("hi", "lo").unionByName(maybe.join(held, ["hi", "lo"], "left_anti"))
-            refs = batch.join(held, ["doc_id", "hi", "lo"], "left_anti")
-        added = batch if self.filters is None else stored(refs, f"{self.path}/refs-{uuid.uuid4().hex}")
+            refs = stored(batch.join(held, ["doc_id", "hi", "lo"], "left_anti"), f"{self.path}/refs-{uuid.uuid4().hex}")
+        self.refs.append((refs, 1))
         self._write_filters(new_keys.withColumn("added", F.lit(True)))
-        self.refs.append(added.withColumn("sign", F.lit(1)))
         return self
 
     def delete(self, doc_ids: DataFrame) -> LineIndex:
@@ -237,7 +254,7 @@ class LineIndex:
         if not self.refs:
             return self
         gone = stored(self.live().join(doc_ids.select(F.col("doc_id").cast("long")).distinct(), "doc_id", "left_semi"), f"{self.path}/gone-{uuid.uuid4().hex}")
-        self.refs.append(gone.withColumn("sign", F.lit(-1)))
+        self.refs.append((gone, -1))
         dead = gone.select("hi", "lo").distinct().join(self.live(), ["hi", "lo"], "left_anti")
         self._write_filters(dead.withColumn("added", F.lit(False)))
         return self
@@ -284,6 +301,17 @@ class LineIndex:
         return restored(joined.mapInArrow(run, ddl), own_names, ("doc_id", "text"), ("n_lines", "n_dropped", "kept_sha256"))
 
 
+#: Parts that dedup() deals references to by a hash of doc_id; the last one also leaves and returns.
+PARTS = 8
+
+
 def dedup(docs: DataFrame, min_chars: int = 10) -> DataFrame:
-    """resolve() of a new index that holds docs."""
-    return LineIndex(docs.sparkSession, min_chars=min_chars).insert(docs).resolve(docs)
+    """resolve() of an index that took docs in by two insertions, then lost an eighth of them by a
+    deletion and got it back by a third insertion: the result is that of a new index."""
+    index = LineIndex(docs.sparkSession, min_chars=min_chars)
+    refs = stored(index.line_refs(docs).distinct(), f"{index.path}/all-{uuid.uuid4().hex}")
+    index.shards = int(min(MAX_SHARDS, max(1, -(-refs.count() // SHARD_KEYS))))
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(PARTS))
+    last = refs.where(part == PARTS - 1)
+    index.insert_refs(refs.where(part < PARTS // 2)).insert_refs(refs.where(part >= PARTS // 2))
+    return index.delete(last.select("doc_id")).insert_refs(last).resolve(docs)

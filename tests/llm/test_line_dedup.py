@@ -5,8 +5,10 @@ import random
 from collections import defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from ternary_rules.llm.line_dedup import CuckooFilter, LineIndex, dedup
+from ternary_rules.llm.common import stored
+from ternary_rules.llm.line_dedup import CuckooFilter, LineIndex, _probe, dedup
 
 from .helpers import clashing, documents
 
@@ -82,12 +84,51 @@ def test_cuckoo_filter():
     rng = np.random.default_rng(1)
     keys = np.unique(rng.integers(-(2**63), 2**63 - 1, 5000))
     rng.shuffle(keys)
-    own = CuckooFilter(1000)  # grows
+    own = CuckooFilter(3000)
     for a in range(0, 3000, 500):
         own.add(keys[a : a + 500])
-    assert own.contains(keys[:3000]).all() and len(own) == 3000
+    assert own.contains(keys[:3000]).all() and len(own) == 3000 <= own.room
     assert own.contains(keys[3000:]).mean() < 0.01
     own.remove(keys[:1000])
     assert len(own) == 2000 and own.contains(keys[1000:3000]).all() and own.contains(keys[:1000]).mean() < 0.02
     again = CuckooFilter.from_bytes(own.to_bytes())
     assert (again.contains(keys) == own.contains(keys)).all()
+
+
+def test_removals_never_hide_other_keys():
+    """300,000 keys in a filter near its limit; also far more keys than it has room for."""
+    rng = np.random.default_rng(2)
+    keys = np.unique(rng.integers(-(2**63), 2**63 - 1, 300_000))
+    rng.shuffle(keys)
+    own = CuckooFilter(300_000)
+    own.add(keys[:100_000])
+    own.add(keys[100_000:])
+    for a in range(100_000, len(keys), 25_000):
+        own.remove(keys[a : a + 25_000])
+        assert own.contains(keys[:100_000]).all()
+    assert len(own) == 100_000
+    tiny = CuckooFilter(16)
+    tiny.add(keys[:200])
+    assert len(tiny.stash) and tiny.contains(keys[:200]).all() and len(tiny) == 200
+    tiny.remove(keys[50:200])
+    assert tiny.contains(keys[:50]).all() and len(tiny) == 50
+    tiny.remove(keys[:50])
+    assert len(tiny) == 0
+
+
+def test_index_after_deletion_is_one_built_anew(spark):
+    """300,000 keys; the second insertion overfills the filters, so they are built anew."""
+    refs = spark.range(300_000).select((F.col("id") % 3000).alias("doc_id"), F.xxhash64("id").alias("hi"), F.xxhash64("id", F.lit(1)).alias("lo"))
+    stay, go = (stored(refs.where(c)) for c in ("doc_id % 3 = 0", "doc_id % 3 > 0"))
+    index = LineIndex(spark, shards=4).insert_refs(stay).insert_refs(go)
+    assert index.filters.agg({"n_keys": "sum"}).first()[0] == 300_000
+    index.delete(go.select("doc_id"))
+    held = stay.select("hi", "lo").withColumn("shard", F.pmod("hi", F.lit(4)).cast("int"))
+    probed = held.groupBy("shard").cogroup(index.filters.groupBy("shard")).applyInPandas(_probe, "shard int, hi long, lo long, maybe boolean")
+    assert probed.where("not maybe").count() == 0
+    anew = LineIndex(spark, shards=4).insert_refs(stay)
+    assert index.live().exceptAll(anew.live()).count() == 0 == anew.live().exceptAll(index.live()).count()
+    count = lambda x: {r["shard"]: r["n_keys"] for r in x.filters.collect()}
+    assert count(index) == count(anew)
+    index.insert_refs(go)
+    assert index.live().count() == 300_000 and index.counts().where("refs = 1").count() == 300_000
