@@ -9,6 +9,7 @@ container.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections import Counter
@@ -22,6 +23,8 @@ from .common import small_batches, stored
 
 #: Winning paths are shipped to all workers up to so many hosts and bytes, and joined to the pages beyond.
 BROADCAST_HOSTS, BROADCAST_BYTES = 100_000, 32 << 20
+#: Characters of a path; a longer one begins with a hash of what is above.
+MOST_PATH = 240
 #: Hosts and paths whose votes a worker sums before it passes them on.
 MOST_SUMS = 50_000
 
@@ -53,10 +56,29 @@ P_ENDS = frozenset("article section div body td th li blockquote main table butt
 
 
 class _Element:
-    __slots__ = ("away", "depth", "doubtful", "linked", "path", "score", "tag")
+    """`no` counts opening tags, so an element's comes after those of all elements around it; `over`
+    is the nearest container around it."""
 
-    def __init__(self, tag: str, path: str, away: bool, linked: bool, depth: int, doubtful: bool = False):
-        self.tag, self.path, self.away, self.linked, self.depth, self.score, self.doubtful = tag, path, away, linked, depth, 0.0, doubtful
+    __slots__ = ("away", "doubtful", "linked", "no", "over", "path", "tag", "up")
+
+    def __init__(self, tag: str, path: str, away: bool, linked: bool, no: int, up: _Element | None, doubtful: bool = False):
+        self.tag, self.path, self.away, self.linked, self.no, self.up, self.doubtful = tag, path, away, linked, no, up, doubtful
+        self.over = None if up is None else up.box
+
+    @property
+    def box(self) -> _Element | None:
+        """The nearest container, itself included."""
+        return self if self.tag in CONTAINERS else self.over
+
+
+def _joined(path: str, name: str) -> str:
+    """The path of a child. Where it would get long, a hash stands for the part above, so that no
+    page's paths take more room than its tags."""
+    if len(name) > MOST_PATH // 2:
+        name = f"#{hashlib.blake2b(name.encode(), digest_size=12).hexdigest()}"
+    if len(path) + len(name) > MOST_PATH:
+        path = f"#{hashlib.blake2b(path.encode(), digest_size=12).hexdigest()}"
+    return f"{path}/{name}" if path else name
 
 
 def _words(name: str) -> set[str]:
@@ -95,15 +117,18 @@ def _names(tag: str, attributes: str) -> tuple[str, bool, bool]:
 
 class Page:
     """One pass over a page: elements with their generalised paths, and blocks of text, each with
-    the elements it stands in and the number of its characters in links. Text inside elements that hold no article text is left out at once; of elements
-    whose name leaves it open, when the page is read and at least half of their text is in links."""
+    the element it stands in (None outside all) and the number of its characters in links. Text
+    inside elements that hold no article text is left out at once; of elements whose name leaves it
+    open, when the page is read and at least half of their text is in links. An element knows the
+    one around it only, so memory grows with the page, not with its depth."""
 
     def __init__(self, source: str):
         self.elements: list[_Element] = []
-        self.blocks: list[tuple[str, list[_Element], int]] = []
+        self.blocks: list[tuple[str, _Element | None, int]] = []
         self.stack: list[_Element] = []
+        self.open: Counter = Counter()
         self.pieces: list[str] = []
-        self.place: list[_Element] = []
+        self.place: _Element | None = None
         self.linked = 0
         at, n = 0, len(source)
         while at < n:
@@ -128,23 +153,45 @@ class Page:
         if any(e.doubtful for e in self.elements):
             self._judge()
 
+    def _sums(self) -> tuple[list[int], list[int]]:
+        """Characters of plain and of linked text inside each element."""
+        plain, linked = [0] * len(self.elements), [0] * len(self.elements)
+        for text, e, in_links in self.blocks:
+            if e is not None:
+                plain[e.no] += len(text) - in_links
+                linked[e.no] += in_links
+        for e in reversed(self.elements):
+            if e.up is not None:
+                plain[e.up.no] += plain[e.no]
+                linked[e.up.no] += linked[e.no]
+        return plain, linked
+
+    def _inside(self, chosen: set[_Element]) -> list[bool]:
+        """Of each element, whether it or one around it is chosen."""
+        out = [False] * len(self.elements)
+        for e in self.elements:
+            out[e.no] = e in chosen or e.up is not None and out[e.up.no]
+        return out
+
     def _judge(self) -> None:
-        plain: Counter = Counter()
-        for text, place, linked in self.blocks:
-            for e in place:
-                if e.doubtful:
-                    plain[e] += len(text) - 2 * linked
-        for e, n in plain.items():
-            e.away = e.away or n <= 0
-        self.blocks = [b for b in self.blocks if not any(e.doubtful and e.away for e in b[1])]
+        plain, linked = self._sums()
+        gone = set()
+        for e in self.elements:
+            if e.doubtful:
+                e.away = e.away or plain[e.no] + linked[e.no] > 0 and plain[e.no] <= linked[e.no]
+                if e.away:
+                    gone.add(e)
+        inside = self._inside(gone)
+        self.blocks = [b for b in self.blocks if b[1] is None or not inside[b[1].no]]
 
     def _text(self, text: str) -> None:
-        if self.stack and self.stack[-1].away:
+        top = self.stack[-1] if self.stack else None
+        if top is not None and top.away:
             return
         if not self.pieces:
-            self.place = list(self.stack)
+            self.place = top
         self.pieces.append(html.unescape(text) if "&" in text else text)
-        if self.stack and self.stack[-1].linked:
+        if top is not None and top.linked:
             self.linked += len(" ".join(self.pieces[-1].split()))
 
     def _flush(self) -> None:
@@ -157,38 +204,45 @@ class Page:
     def _pop_to(self, k: int) -> None:
         if any(e.tag in BLOCKS for e in self.stack[k:]):
             self._flush()
+        for e in self.stack[k:]:
+            self.open[e.tag] -= 1
         del self.stack[k:]
 
     def _open(self, tag: str, attributes: str) -> None:
         if tag in BLOCKS:
             self._flush()
-            for k in range(len(self.stack) - 1, -1, -1):
-                if self.stack[k].tag == "p":
-                    self._pop_to(k)
-                    break
-                if self.stack[k].tag in P_ENDS:
-                    break
+            if self.open["p"]:
+                for k in range(len(self.stack) - 1, -1, -1):
+                    if self.stack[k].tag == "p":
+                        self._pop_to(k)
+                        break
+                    if self.stack[k].tag in P_ENDS:
+                        break
         if tag in CLOSES:
             ends, until = CLOSES[tag]
-            for k in range(len(self.stack) - 1, -1, -1):
-                if self.stack[k].tag in ends:
-                    self._pop_to(k)
-                    if tag != "tr":
+            if any(self.open[t] for t in ends):
+                for k in range(len(self.stack) - 1, -1, -1):
+                    if self.stack[k].tag in ends:
+                        self._pop_to(k)
+                        if tag != "tr":
+                            break
+                    elif self.stack[k].tag in until:
                         break
-                elif self.stack[k].tag in until:
-                    break
         if tag in ("br", "td", "th"):
             self._text(" ")
         if tag in VOID:
             return
         name, away, doubtful = _names(tag, attributes)
         up = self.stack[-1] if self.stack else None
-        path = name if up is None or up.path in ("", "html") or tag == "body" else f"{up.path}/{name}" if tag in BLOCKS or tag in CONTAINERS else up.path
-        element = _Element(tag, path, away or up is not None and up.away, tag == "a" or up is not None and up.linked, len(self.stack), doubtful)
+        path = _joined("", name) if up is None or up.path in ("", "html") or tag == "body" else _joined(up.path, name) if tag in BLOCKS or tag in CONTAINERS else up.path
+        element = _Element(tag, path, away or up is not None and up.away, tag == "a" or up is not None and up.linked, len(self.elements), up, doubtful)
         self.stack.append(element)
         self.elements.append(element)
+        self.open[tag] += 1
 
     def _close(self, tag: str) -> None:
+        if not self.open[tag]:
+            return
         for k in range(len(self.stack) - 1, -1, -1):
             if self.stack[k].tag == tag:
                 if tag in BLOCKS:
@@ -203,18 +257,17 @@ class Page:
         the next one out and a quarter beyond it; text in links counts against."""
         points: Counter = Counter()
         for text, place, _ in self.blocks:
-            worth = -len(text) if place and place[-1].linked else len(text) + 25
-            for e in reversed(place):
-                if e.tag in CONTAINERS:
-                    points[e.path] += worth
-                    worth //= 2
-                    if not worth:
-                        break
+            worth = -len(text) if place is not None and place.linked else len(text) + 25
+            box = place.box if place is not None else None
+            while box is not None and worth:
+                points[box.path] += worth
+                worth = worth // 2 if worth > 0 else -(-worth // 2)
+                box = box.over
         most = max(points.values(), default=0)
         return {p: 1000 * v // most for p, v in points.items() if v > 0} if most > 0 else {}
 
     def text(self, path: str | None) -> str:
-        """The blocks of the article around elements of this path, joined by \\n. Such an element is
+        """The blocks of the article around elements of this path, joined by \n. Such an element is
         widened to its outermost article or main; where it has none, to the parent again and again,
         short of body, while what the parent adds is more plain text than links. Plain blocks that
         stand directly in a container further out, such as a title above the article, are its own."""
@@ -223,34 +276,42 @@ class Page:
             path = min(own, key=lambda p: (-own[p], p)) if own else None
         if path is None:
             return "\n".join([t for t, _, _ in self.blocks])
-        sizes: dict[_Element, list[int]] = {}
-        for text, place, linked in self.blocks:
-            for e in place:
-                size = sizes.setdefault(e, [0, 0])
-                size[0] += len(text) - linked
-                size[1] += linked
+        plain, linked = self._sums()
+        whole: list[_Element | None] = []  # of each element, its outermost article or main
+        anchored: list[bool] = []  # whether it or one around it has the path
         roots: set[_Element] = set()
-        outer: set[_Element | None] = {None}
-        for place in {e: place for _, place, _ in self.blocks for e in place if e.path == path}.values():
-            at = next(k for k, e in enumerate(place) if e.path == path)
-            root = next((k for k in range(at + 1) if place[k].tag in ("article", "main")), None)
-            if root is None:
-                root = at
-                for k in range(at - 1, -1, -1):
-                    if place[k].tag in ("body", "html"):
-                        break
-                    more = [a - b for a, b in zip(sizes[place[k]], sizes[place[root]], strict=True)]
-                    if place[k].tag in CONTAINERS and more[0] > more[1]:
-                        root = k
-            roots.add(place[root])
-            outer.update(place[:root])
+        outer: set[_Element] = set()
+        for e in self.elements:
+            above = whole[e.up.no] if e.up is not None else None
+            whole.append(above or (e if e.tag in ("article", "main") else None))
+            around = e.up is not None and anchored[e.up.no]
+            anchored.append(around or e.path == path)
+            if around or e.path != path or not plain[e.no] + linked[e.no]:
+                continue
+            root = whole[e.no] or self._widened(e, plain, linked)
+            roots.add(root)
+            up = root.up
+            while up is not None and up not in outer:
+                outer.add(up)
+                up = up.up
         if not roots:
             return ""
-
-        def belongs(place: list[_Element], plain: bool) -> bool:
-            return any(e in roots for e in place) or plain and next((e for e in reversed(place) if e.tag in CONTAINERS), None) in outer
-
-        return "\n".join([t for t, place, linked in self.blocks if belongs(place, 2 * linked < len(t))])
+        inside = self._inside(roots)
+
+        def belongs(place: _Element | None, plain: bool) -> bool:
+            box = place.box if place is not None else None
+            return place is not None and inside[place.no] or plain and (box is None or box in outer)
+
+        return "\n".join([t for t, place, in_links in self.blocks if belongs(place, 2 * in_links < len(t))])
+
+    @staticmethod
+    def _widened(root: _Element, plain: list[int], linked: list[int]) -> _Element:
+        up = root.up
+        while up is not None and up.tag not in ("body", "html"):
+            if up.tag in CONTAINERS and plain[up.no] - plain[root.no] > linked[up.no] - linked[root.no]:
+                root = up
+            up = up.up
+        return root
 
 
 def host_of(url: Column) -> Column:

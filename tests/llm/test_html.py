@@ -1,11 +1,14 @@
 """Pages by hand, and the vote of a host."""
 
 import html
+import random
+import tracemalloc
+from collections import Counter, defaultdict
 
 import pytest
 
 from ternary_rules.llm import html_extraction
-from ternary_rules.llm.html_extraction import Page, extract
+from ternary_rules.llm.html_extraction import CONTAINERS, MOST_PATH, Page, extract
 
 SCHEMA = "page_id long, url string, html string"
 PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style><script>var t="</p><article>";</script></head><body><nav><ul><li><a href="/a">menu</a></li></ul></nav>
@@ -102,3 +105,86 @@ LINKS = "<ul><li><a href='/1'>one other page</a></li><li><a href='/2'>another pa
 def test_names_of_parts(body, text):
     """An anchor to a part of the article doesn't drop it; parts made of links go."""
     assert Page(PAGE % f"<article>{body}</article>").text("body/article") == "\n".join(" ".join(t.split()) for t in text)
+
+
+def test_deep_pages_take_memory_by_size():
+    """200,000 open elements, and text at every depth."""
+    for source, n in (("<div>" * 200_000 + "deep", 1), ("".join(f"<div class='c{'x' * (k % 50)}'>text {k} " for k in range(60_000)), 60_000), ("<div class='" + "y" * 100_000 + "'>" + "<div>t " * 5_000, 5_000)):
+        tracemalloc.start()
+        page = Page(source)
+        votes, text = page.votes(), page.text(None)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 200e6 and len(page.blocks) == n and text and votes and max(map(len, votes)) <= MOST_PATH + 1
+    linked = "<div>" * 30_000 + "".join(f"<p><a href=/{k}>link {k}</a></p>" for k in range(30_000))
+    assert Page(linked).votes() == {}
+
+
+def around(e):
+    return [] if e is None else [*around(e.up), e]
+
+
+def naive_votes(page):
+    """Votes of a page, each block walking out through whole lists of the elements around it."""
+    points = Counter()
+    for text, place, _ in page.blocks:
+        boxes = [e for e in around(place) if e.tag in CONTAINERS]
+        for k, e in enumerate(reversed(boxes)):
+            points[e.path] += int(-len(text) / 2**k) if place.linked else (len(text) + 25) >> k
+    most = max(points.values(), default=0)
+    return {p: v * 1000 // most for p, v in points.items() if v > 0} if most > 0 else {}
+
+
+def naive_text(page, path):
+    own = naive_votes(page)
+    if not any(e.path == path and e.tag in CONTAINERS and not e.away for e in page.elements):
+        path = min(own, key=lambda p: (-own[p], p)) if own else None
+    if path is None:
+        return "\n".join(b[0] for b in page.blocks)
+    size = lambda e: [sum(x) for x in zip((0, 0), *[(len(t) - n, n) for t, place, n in page.blocks if e in around(place)], strict=True)]
+    roots = set()
+    for _, place, _ in page.blocks:
+        whole = around(place)
+        at = next((k for k, e in enumerate(whole) if e.path == path), None)
+        if at is None:
+            continue
+        root = next((e for e in whole[: at + 1] if e.tag in ("article", "main")), None)
+        if root is None:
+            root = whole[at]
+            for e in reversed(whole[:at]):
+                if e.tag in ("body", "html"):
+                    break
+                (a, b), (c, d) = size(e), size(root)
+                if e.tag in CONTAINERS and a - c > b - d:
+                    root = e
+        roots.add(root)
+    out = []
+    for text, place, n in page.blocks:
+        whole = around(place)
+        box = next((e for e in reversed(whole) if e.tag in CONTAINERS), None)
+        above = box is None or any(box in around(r)[:-1] for r in roots)
+        if roots & set(whole) or 2 * n < len(text) and above:
+            out.append(text)
+    return "\n".join(out) if roots else ""
+
+
+def random_page(rng, host):
+    out = ["<body>", ["", "<div class=a><div>", "<article><section class=b>", "<main>", "<div class=c>"][host % 5], "text " * 40]
+    for _ in range(rng.randint(3, 40)):
+        tag = rng.choice(["div", "div", "section", "article", "main", "p", "ul", "li", "span", "td", "h1", "nav"])
+        out.append(rng.choice([f"<{tag}>", f"<{tag} class='{rng.choice('abc')}'>", f"<{tag} id=related>", f"</{tag}>", f"</{tag}>", "words " * rng.randint(1, 30), f"<a href=/>{'link ' * rng.randint(1, 9)}</a>"]))
+    return "".join(out)
+
+
+def test_against_a_naive_version(spark):
+    """Votes of hosts, choice of paths and texts, for random pages."""
+    rng = random.Random(8)
+    rows = [(i, f"https://h{i % 7}.example.com/{i}", random_page(rng, i % 7)) for i in range(400)]
+    votes = defaultdict(Counter)
+    for _, url, source in rows:
+        votes[url.split("/")[2]].update(naive_votes(Page(source)))
+    best = {h: min(v, key=lambda p: (-v[p], p)) if v else None for h, v in votes.items()}
+    assert len(set(best.values())) > 2
+    found = {r["page_id"]: r["text"] for r in extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert found == {i: naive_text(Page(source), best[url.split("/")[2]]) for i, url, source in rows}
+    assert len(set(found.values())) > 200
