@@ -3,9 +3,11 @@
 The words of a source, its documents in a fixed pseudorandom order, form one sequence that is cut
 into blocks of fixed length. A source's target is filled by whole passes over its blocks and part
 of a further pass, each pass in an order of its own: a pseudorandom permutation of block indices
-that is computed from the index alone. The slots of the output are dealt to shards by one more
-permutation, so the source counts of a shard are a multinomial draw, conditioned on the targets
-being met in total. Slots and the documents' pieces meet in a join on (source, block).
+that is computed from the index alone. The sources of an output shard's slots are drawn one by one,
+with the targets as chances, so that the source counts of a shard are a multinomial draw. The k-th
+slot that a source draws, over all shards in order, takes its k-th block; the last draws of a source
+beyond its target, about as many as the square root of all slots, go to the sources that fell short.
+Slots and the documents' pieces meet in a join on (source, block).
 
 The permutation is "swap or not": each round pairs an index x with k - x modulo n and swaps the
 two or not by a hash of the pair. It is a bijection for any n, and so needs neither a sort nor
@@ -22,8 +24,8 @@ from .common import WORD, restored, shielded, stored
 BLOCK_WORDS = 256
 SHARD_BLOCKS = 4096
 ROUNDS = 24
-#: Slots that one row is exploded to; a task makes a few such chunks.
-CHUNK_SLOTS = 8192
+#: Slots that a key of the join of draws and sources spans.
+DRAW_RANGE = 8192
 #: Documents of a source whose sizes one window sums up.
 RUN_ROWS = 20_000
 WEIGHTS = (3, 1, 2)
@@ -104,20 +106,56 @@ def slots(goals: DataFrame, block_words: int = BLOCK_WORDS, shard_blocks: int =
     plan = plan.withColumn("part_blocks", F.when(F.col("part") > 0, with_tail).otherwise(F.lit(0)))
     plan = plan.withColumn("n_slots", F.col("whole") * F.col("blocks") + F.col("part_blocks"))
     along = Window.orderBy("source_no").rowsBetween(Window.unboundedPreceding, -1)
-    plan = plan.withColumn("first", F.coalesce(F.sum("n_slots").over(along), F.lit(0))).withColumn("all_slots", F.sum("n_slots").over(Window.partitionBy(F.lit(1))))
-    # a source's slots by chunk first: one source can have most of them
-    plan = stored(plan.where("n_slots > 0"))
-    n_chunks = plan.agg(F.sum(F.floor((F.col("n_slots") - 1) / CHUNK_SLOTS) + 1)).first()[0] or 0
-    chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_slots") - 1) / CHUNK_SLOTS))).alias("chunk")
-    chunks = plan.select("*", chunk).repartition(int(max(1, min(n_chunks, 20_000))), "source_no", "chunk")
-    k = F.explode(F.sequence(F.col("chunk") * CHUNK_SLOTS, F.least(F.col("n_slots"), (F.col("chunk") + 1) * CHUNK_SLOTS) - 1)).alias("k")
-    out = chunks.select("*", k).withColumn("pass", F.floor(F.col("k") / F.col("blocks"))).withColumn("at", F.col("k") % F.col("blocks"))
-    block = permuted(F.col("at"), F.col("blocks"), F.lit(seed), F.col("source_no"), F.col("pass"))
-    out = out.withColumn("block", block).withColumn("place", permuted(F.col("first") + F.col("k"), F.col("all_slots"), F.lit(seed), F.lit(-1), F.lit(-1)))
+    plan = stored(plan.withColumn("first", F.coalesce(F.sum("n_slots").over(along), F.lit(0))).where("n_slots > 0"))
+    out = drawn(plan.select("source_no", "n_slots", "first"), shard_blocks, seed).join(plan, "source_no")
+    out = out.withColumn("pass", F.floor(F.col("k") / F.col("blocks"))).withColumn("at", F.col("k") % F.col("blocks"))
+    out = out.withColumn("block", permuted(F.col("at"), F.col("blocks"), F.lit(seed), F.col("source_no"), F.col("pass")))
     full = F.when(F.col("block") == F.col("blocks") - 1, F.col("tail")).otherwise(F.lit(block_words))
     before = F.col("at") * block_words - F.when(F.col("at") > F.col("tail_at"), block_words - F.col("tail")).otherwise(0)
     words = F.when(F.col("pass") < F.col("whole"), full).otherwise(F.least(full, F.col("part") - before))
-    return out.select(F.floor(F.col("place") / shard_blocks).alias("shard"), (F.col("place") % shard_blocks).alias("slot"), "source_no", "pass", "block", words.cast("long").alias("words"))
+    return out.select("shard", "slot", "source_no", "pass", "block", words.cast("long").alias("words"))
+
+
+def _running(rows: DataFrame, key: list[str], order: str, value: str, name: str) -> DataFrame:
+    """rows with `name`, the sum of value over the rows of their key before them in order (a long
+    that is unique in the key): first in runs of RUN_ROWS of it, then over the runs."""
+    rows = rows.withColumn("__run", F.floor(F.col(order) / RUN_ROWS))
+    before = lambda by: by.rowsBetween(Window.unboundedPreceding, -1)
+    runs = rows.groupBy(*key, "__run").agg(F.sum(value).alias("__sum"))
+    runs = runs.withColumn("__base", F.coalesce(F.sum("__sum").over(before(Window.partitionBy(*key).orderBy("__run"))), F.lit(0))).drop("__sum")
+    inside = F.coalesce(F.sum(value).over(before(Window.partitionBy(*key, "__run").orderBy(order))), F.lit(0))
+    return rows.withColumn("__in", inside).join(runs, [*key, "__run"]).withColumn(name, F.col("__base") + F.col("__in")).drop("__run", "__in", "__base")
+
+
+def drawn(plan: DataFrame, shard_blocks: int = SHARD_BLOCKS, seed: int = 1) -> DataFrame:
+    """shard, slot, source_no and k, the index of the slot among those of its source. plan: a stored
+    table (source_no, n_slots, first), one row a source, first the slots of the sources before it.
+
+    A slot draws a number below all slots; the source whose range it falls in is the slot's. Ranges
+    are cut by DRAW_RANGE, which gives the join its key. A source's index runs over the shards. What
+    it draws beyond n_slots is dealt, in order, to the sources that drew too few."""
+    spark = plan.sparkSession
+    n = plan.agg(F.sum("n_slots")).first()[0] or 0
+    cut = lambda c: F.floor(c / DRAW_RANGE)
+    ranges = plan.select("source_no", "n_slots", "first", F.explode(F.sequence(cut(F.col("first")), cut(F.col("first") + F.col("n_slots") - 1))).alias("range"))
+    places = spark.range(0, n, 1, int(max(1, min(n // 100_000 + 1, 20_000))))
+    draw = places.withColumn("draw", F.pmod(F.xxhash64(F.lit(seed), F.col("id"), F.lit(11)), F.lit(max(n, 1)))).withColumn("range", cut(F.col("draw")))
+    met = draw.join(ranges, "range").where((F.col("draw") >= F.col("first")) & (F.col("draw") < F.col("first") + F.col("n_slots")))
+    shard = F.floor(F.col("id") / shard_blocks)
+    counts = met.groupBy(shard.alias("shard"), "source_no", "n_slots").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.count(F.lit(1)).alias("n"))  # SHARD_BLOCKS at most
+    counts = stored(_running(stored(counts), ["source_no"], "shard", "n", "base"))
+    each = counts.select("source_no", "n_slots", "base", F.posexplode("ids").alias("pos", "id")).withColumn("k", F.col("base") + F.col("pos"))
+    own = each.where(F.col("k") < F.col("n_slots")).select("id", "source_no", "k")
+    surplus = each.where(F.col("k") >= F.col("n_slots")).select("id")
+    nth = _running(stored(surplus.withColumn("one", F.lit(1).cast("long"))), [], "id", "one", "nth").select("id", "nth")
+    got = counts.groupBy("source_no").agg(F.sum("n").alias("got"))
+    short = plan.join(got, "source_no", "left").select("source_no", F.coalesce("got", F.lit(0)).alias("got"), (F.col("n_slots") - F.coalesce("got", F.lit(0))).alias("lacks")).where("lacks > 0")
+    before = F.coalesce(F.sum("lacks").over(Window.orderBy("source_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    short = short.withColumn("begin", before)
+    gaps = short.select("source_no", "got", "begin", "lacks", F.explode(F.sequence(cut(F.col("begin")), cut(F.col("begin") + F.col("lacks") - 1))).alias("range"))
+    dealt = nth.withColumn("range", cut(F.col("nth"))).join(gaps, "range").where((F.col("nth") >= F.col("begin")) & (F.col("nth") < F.col("begin") + F.col("lacks")))
+    whole = own.unionByName(dealt.select("id", "source_no", (F.col("got") + F.col("nth") - F.col("begin")).alias("k")))
+    return whole.select(shard.alias("shard"), (F.col("id") % shard_blocks).alias("slot"), "source_no", "k")
 
 
 def _pieces(placed: DataFrame, block_words: int) -> DataFrame:
@@ -172,7 +210,10 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int =
     placed, mix = plan_mix(light, ["doc_id", "__text"], block_words, seed=seed)
     ranges = mix.groupBy("source_no", "begin", "pass").agg(F.array_sort(F.collect_list(F.struct("low", "high"))).alias("ranges"), F.sum(F.col("high") - F.col("low")).alias("got"))
     nth = Window.partitionBy("doc_id", "source", "__text", "size").orderBy("begin")
-    own = placed.withColumn("__nth", F.row_number().over(nth)).join(ranges, ["source_no", "begin"], "left").where("size = 0 or ranges is not null")
+    own = placed.withColumn("__nth", F.row_number().over(nth))
+    # documents without words share their place with the next one, whose passes are not theirs
+    empty = own.where("size = 0").withColumns({"got": F.lit(None).cast("long"), "ranges": F.lit(None).cast("array<struct<low:bigint,high:bigint>>")})
+    own = own.where("size > 0").join(ranges.drop("pass"), ["source_no", "begin"]).unionByName(empty)
     own = own.select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("__text").alias("__t"), "__nth", F.when(F.col("got") < F.col("size"), F.col("ranges")).alias("__ranges"))
     copies = Window.partitionBy("doc_id", "source", "__text", "size").orderBy(F.lit(0))
     texts = rows.withColumn("__nth", F.row_number().over(copies))

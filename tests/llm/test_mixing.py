@@ -7,7 +7,8 @@ from fractions import Fraction
 import pytest
 from pyspark.sql import functions as F
 
-from ternary_rules.llm.mixing import mixed_documents, permuted, slots, taken, targets, words_in
+from ternary_rules.llm.common import stored
+from ternary_rules.llm.mixing import drawn, mixed_documents, permuted, plan_mix, slots, taken, targets, words_in
 
 from .helpers import clashing, documents
 
@@ -71,9 +72,48 @@ def test_slots_deal_sources_to_shards(spark):
         places.add((r["shard"], r["slot"]))
         by_shard[r["shard"], r["source_no"]] += 1
     assert words == want and len(places) == len(rows)
-    full = [s for s in range(len(rows) // 512)]
-    share = sum(1 for r in rows if r["source_no"] == 1) / len(rows)
-    assert all(abs(by_shard[s, 1] / 512 - share) < 0.12 for s in full) and len({by_shard[s, 1] for s in full}) > 1
+    n, p = 512, sum(1 for r in rows if r["source_no"] == 1) / len(rows)
+    drew = [by_shard[s, 1] for s in range(len(rows) // n)]
+    assert all(abs(x - n * p) < 5 * (n * p * (1 - p)) ** 0.5 for x in drew) and len(set(drew)) > 1
+
+
+def test_draws_are_multinomial(spark):
+    """Over 400 shards the counts vary as those of independent draws do (fixed totals would vary
+    less by 1/400 only, a stratified deal hardly at all), and every index of a source is dealt once."""
+    sizes = [30_000, 50_000, 20_000, 1, 2_400]
+    plan = stored(spark.createDataFrame([(k, n, sum(sizes[:k])) for k, n in enumerate(sizes)], "source_no int, n_slots long, first long"))
+    rows = drawn(plan, 256).collect()
+    n = sum(sizes)
+    assert sorted((r["source_no"], r["k"]) for r in rows) == [(s, k) for s, m in enumerate(sizes) for k in range(m)]
+    assert sorted(r["shard"] * 256 + r["slot"] for r in rows) == list(range(n))
+    counts = Counter((r["source_no"], r["shard"]) for r in rows)
+    for s in (0, 1, 2, 4):
+        p, drew = sizes[s] / n, [counts[s, k] for k in range(380)]  # the last ones settle the totals
+        mean = sum(drew) / len(drew)
+        assert 0.8 < sum((x - mean) ** 2 for x in drew) / len(drew) / (256 * p * (1 - p)) < 1.25
+    for s in (0, 1, 2):  # an index runs over the shards in order
+        early = sorted((r["k"], r["shard"], r["slot"]) for r in rows if r["source_no"] == s and r["k"] < 0.95 * sizes[s])
+        assert [x[1:] for x in early] == sorted(x[1:] for x in early)
+
+
+def test_taken_by_hand(spark):
+    """The words of each document that the slots hold, counted by walking over every slot."""
+    docs = documents(spark, *sample())
+    rows = stored(docs.select("doc_id", "source", words_in(F.col("text")).alias("size")))
+    placed, _ = plan_mix(rows, ["doc_id"], 16)
+    at = placed.collect()
+    goals = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
+    owner = {(r["source_no"], w): k for k, r in enumerate(at) for w in range(r["begin"], r["begin"] + r["size"])}
+    got = Counter(owner[s["source_no"], s["block"] * 16 + w] for s in slots(goals, 16).collect() for w in range(s["words"]))
+    want = sorted((r["doc_id"] or -1, r["source"] or "", r["size"], got[k]) for k, r in enumerate(at))
+    assert want == sorted((r["doc_id"] or -1, r["source"] or "", r["size"], r["taken"]) for r in taken(docs, 16).collect())
+
+
+def test_documents_without_words_stay_once(spark):
+    """Also where their source is mixed in by two passes."""
+    rows = [(i, None if i % 2 else " \n", "a") for i in range(20)] + [(100 + i, "word " * 50, "a") for i in range(4)] + [(200, "word " * 4000, "b")]
+    found = Counter(r["doc_id"] for r in mixed_documents(documents(spark, *rows), 8).collect())
+    assert [found[i] for i in range(20)] == [1] * 20 and [found[100 + i] for i in range(4)] == [2] * 4
 
 
 def test_documents(spark):
