@@ -72,8 +72,11 @@ def test_links_find_every_pair(spark):
     signed = lambda v: v - (1 << 64) if v >> 63 else v
     ordered = sorted(values, key=signed)
     expected = {(signed(a), signed(b)) for i, a in enumerate(ordered) for b in ordered[i + 1 :] if (a ^ b).bit_count() <= 4}
-    rows = links(spark.createDataFrame([(signed(v),) for v in values], "fp long")).collect()
-    assert sorted((r["u"], r["v"]) for r in rows) == sorted(expected)
+    for pieces in (None, 5, 7):  # with pieces of the other bits in the key too
+        rows = links(spark.createDataFrame([(signed(v),) for v in values], "fp long"), pieces=pieces).collect()
+        assert sorted((r["u"], r["v"]) for r in rows) == sorted(expected)
+    with pytest.raises(ValueError):
+        links(spark.createDataFrame([(1,)], "fp long"), pieces=4)
     with pytest.raises(ValueError):
         links(spark.createDataFrame([(1,)], "fp long"), 6)
 
@@ -88,6 +91,13 @@ def test_awkward(spark):
     assert near_duplicates(docs.where("1 = 0")).count() == 0 and keep_one(docs.where("1 = 0")).count() == 0
 
 
+def test_ids_with_several_texts(spark):
+    """A text that nothing repeats stays, though another one has its id."""
+    docs = documents(spark, (1, "a text that others repeat", "a"), (1, "b words that nobody else wrote in any document", "a"), (2, "a text that others repeat", "b"), (3, "c words of which the second copy stands under one", "c"), (2, "c words of which the second copy stands under one", "c"))
+    kept = sorted((r["doc_id"], r["text"][0]) for r in keep_one(docs).collect())
+    assert kept == [(1, "a"), (1, "b"), (2, "c")]
+
+
 def test_hot_group(spark):
     docs = documents(spark, *[(i, "one text that a third of all documents share", "s") for i in range(300)], *[(1000 + i, f"text {i} of its own with words {i * 7}", "s") for i in range(50)])
     rows = near_duplicates(docs).where("doc_id < 300")
