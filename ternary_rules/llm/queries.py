@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 
+_RUN_KEY = secrets.token_hex(32)
+
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_extraction import extract
@@ -57,10 +60,16 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def pii_key(spark: SparkSession) -> str:
+    """The secret that the setting spark.ternary_rules.piiKey holds; where it is unset, one that is
+    drawn for this process, and so for this run only."""
+    return spark.conf.get("spark.ternary_rules.piiKey", None) or _RUN_KEY
+
+
 def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import replace_pii
 
-    return replace_pii(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_replaced")
+    return replace_pii(table(spark, sf_dir, "documents"), pii_key(spark)).select("doc_id", "text", "n_replaced")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

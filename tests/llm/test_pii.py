@@ -1,10 +1,17 @@
 """Surrogates: nothing personal stays, same entity same surrogate, others differ, formats hold."""
 
+import hashlib
+import math
 import re
+from collections import Counter
+from itertools import count
 
+import pytest
+import regex
 from pyspark.sql import functions as F
 
-from ternary_rules.llm.pii import FEMALE, GIVEN, MALE, assign, replace_pii
+from ternary_rules.llm.common import stored
+from ternary_rules.llm.pii import ANY, COUNTRY_CODE, ENDINGS, FEMALE, GIVEN, MALE, SYLLABLES, assign, replace_pii
 
 from .helpers import clashing, documents
 
@@ -29,7 +36,7 @@ def test_replacement(spark):
     assert n2 == 2 and other == f"{m[6]} Mr. {m[1]}"
     assert rows[3] == [(None, 0)] and rows[4] == [("", 0)] * 2 and rows[5] == [("No data in 2024, nor at version 1.2.3 or 50%.", 0)]
     assert rows[None] == [(m[10], 1)]
-    assert replace_pii(docs.where("1 = 0")).count() == 0
+    assert replace_pii(docs.where("1 = 0"), "k").count() == 0
 
 
 def test_key_decides(spark):
@@ -40,7 +47,7 @@ def test_key_decides(spark):
 
 def test_collisions_are_resolved(spark):
     """Far more names and short numbers than the first attempt can tell apart."""
-    rows = [("given:latin:f", f"Name{i}") for i in range(300)] + [("phone", f"1{i:03d}") for i in range(500)] + [("surname:latin", f"Own{i}") for i in range(300)]
+    rows = [("given:latin:f", f"Name{i}") for i in range(300)] + [("phone", f"+1{i:03d}") for i in range(500)] + [("surname:latin", f"Own{i}") for i in range(300)]
     found = assign(spark.createDataFrame(rows, "kind string, canon string"), "k").collect()
     assert len(found) == len(rows) == len({(r["kind"], r["surrogate"]) for r in found})
     originals = set(rows)
@@ -49,7 +56,7 @@ def test_collisions_are_resolved(spark):
 
 def test_names_keep_gender_and_hot_entities(spark):
     docs = documents(spark, *[(i, f"text {i} mail hot@mail1.example.com", "s") for i in range(300)], *[(1000 + i, f"{n} Miller", "s") for i, n in enumerate([*FEMALE[:10], *MALE[:10]])])
-    found = replace_pii(docs)
+    found = replace_pii(docs, "k")
     assert found.where("doc_id < 1000").select(F.regexp_extract("text", r"\S+@\S+", 0)).distinct().count() == 1
     given = {r["doc_id"] - 1000: r["text"].split()[0] for r in found.where("doc_id >= 1000").collect()}
     assert len(set(given.values())) == 20
@@ -60,7 +67,7 @@ def test_names_keep_gender_and_hot_entities(spark):
 def test_whole_names(spark):
     """Names without a title, of more than two words, with particles, initials and several titles."""
     text = "John Smith, Linda Brown, Hans Müller; Mr. John Paul Smith and Mary Ann Jones met Mr. Jones, Vincent van Gogh, Frau von der Leyen, Prof. Dr. Jean-Pierre Dupont, Mary J. Jones, Светлана Петрова and Κώστας Παπάς. The end"
-    found = replace_pii(documents(spark, (1, text, "s"), (2, "Mary " + "Word " * 3_000 + "ends", "s"), (3, "Mary Jones2 was here, and Johnny went to The Hague", "s"))).collect()
+    found = replace_pii(documents(spark, (1, text, "s"), (2, "Mary " + "Word " * 3_000 + "ends", "s"), (3, "Mary Jones2 was here, and Johnny went to The Hague", "s")), "k").collect()
     rows = {r["doc_id"]: r for r in found}
     new = rows[1]["text"]
     assert not [n for n in re.findall(r"\w+", text) if n[0].isupper() and n not in ("Mr", "Frau", "Prof", "Dr", "The") and re.search(rf"\b{n}\b", new)]
@@ -71,5 +78,159 @@ def test_whole_names(spark):
 
 def test_keys_without_digits(spark):
     keys = ["sk-" + "abcdefghij" * 2, "ghp_" + "abcdef" * 6, "AKIA" + "ABCDEFGH" * 2]
-    found = replace_pii(documents(spark, *[(i, f"the key {k} here", "s") for i, k in enumerate(keys)])).collect()
+    found = replace_pii(documents(spark, *[(i, f"the key {k} here", "s") for i, k in enumerate(keys)]), "k").collect()
     assert [r["n_replaced"] for r in found] == [1] * 3 and not [k for k in keys for r in found if k in r["text"]]
+
+
+def luhn(digits):
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        total += sum(map(int, str(int(c) * (1 + i % 2))))
+    return total % 10 == 0
+
+
+def iban(text):
+    return int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97 == 1
+
+
+def test_formats(spark):
+    """Check digits, country codes, domains and TLDs; numbers that are no card's stay."""
+    text = "4111 1111 1111 1111 | 4111 1111 1111 1112 | DE89 3704 0044 0532 0130 00 | DE88 3704 0044 0532 0130 00 | +44 20 7946 0958 | (415) 555-2671 | +1 415 555 2671 | ann.lee7@corp.co.uk | bob@corp.co.uk | x@mail.example.com"
+    new = replace_pii(documents(spark, (1, text, "s")), "k").first()
+    card, same, good, bad, phone, local, world, ann, bob, example = new["text"].split(" | ")
+    assert new["n_replaced"] == 9 and same == "4111 1111 1111 1112"
+    assert re.fullmatch(r"4\d{3} \d{4} \d{4} \d{4}", card) and luhn(card.replace(" ", "")) and card != "4111 1111 1111 1111"
+    assert iban(good.replace(" ", "")) and good[:2] == "DE" and len(good) == 27 and re.fullmatch(r"DE\d\d \d{4} \d{4} \d{4} \d{4} \d\d", bad)
+    assert re.fullmatch(r"\+44 \d\d \d{4} \d{4}", phone) and re.sub(r"\D", "", local) == re.sub(r"\D", "", world)[1:] and local[0] == "("
+    assert re.fullmatch(r"[a-z]{3}\.[a-z]{3}\d@[a-z]{4}\.[a-z]{2}\.uk", ann) and ann.split("@")[1] == bob.split("@")[1] != "corp.co.uk"
+    assert re.fullmatch(r"[a-z]@[a-z]{4}\.example\.com", example)
+
+
+def test_key_is_needed(spark):
+    with pytest.raises(ValueError):
+        replace_pii(documents(spark, (1, TEXT, "s")), "")
+
+
+def test_clean_text_stays(spark):
+    clean = ["1.2.3.4 section and section 1.2.3.4, version 10.2.3.4 of it, v1.2.3.4", "The token: version2 of it", "secret: chapter1", "order 9999999999999999 and 12345678901234", "Customer Service met the General Public License", "Dear Customer, the United Nations said so", "a@b, c@d.e and @f", "The White House Press Office"]
+    found = replace_pii(documents(spark, *[(i, t, "s") for i, t in enumerate(clean)]), "k").collect()
+    assert [(r["text"], r["n_replaced"]) for r in sorted(found, key=lambda r: r["doc_id"])] == [(t, 0) for t in clean]
+
+
+def test_names_by_context(spark):
+    text = "Paris Hilton met Anna Karenina. Author: Wei Ling Zhang; Dear Okonkwo Adeyemi, Bao Nguyen was born there. Sincerely, Thandiwe Dlamini"
+    new = replace_pii(documents(spark, (1, text, "s")), "k").first()
+    assert new["n_replaced"] == 6 and not [w for w in re.findall(r"[A-Z]\w+", text) if w not in ("Author", "Dear", "Sincerely") and w in new["text"]]
+
+
+def test_long_texts(spark):
+    """Inputs of 100,000 labels, words, titles, initials and hyphens, and of many mentions: in time, and whole."""
+    texts = ["x@" + "a." * 100_000 + "com", "x@" + "abc." * 100_000, "a." * 300_000 + "@b.cd", "Mr. " * 100_000, "Mr. " + "A. " * 100_000, "Mary" + "-Mary" * 100_000, "Mary " + "de " * 100_000, "Dr " + "Word " * 100_000, "password=" + "a" * 500_000, "0" * 500_000, "a" * 500_000 + "0", "f" * 500_000, "sk-" + "a" * 500_000, "+1 " * 200_000, "1.2.3." * 100_000, "\U0001d400a" * 100_000, "DE89 " * 100_000]
+    texts += [" ".join(f"u{i}@site.org" for i in range(20_000))]
+    found = replace_pii(documents(spark, *[(i, t, "s") for i, t in enumerate(texts)]), "k").collect()
+    rows = {r["doc_id"]: r for r in found}
+    assert len(rows) == len(texts) and rows[0]["text"] == texts[0]
+    many = rows[len(texts) - 1]
+    assert many["n_replaced"] == 20_000 == len(set(many["text"].split())) and not set(many["text"].split()) & set(texts[-1].split())
+
+
+def test_few_values(spark):
+    """Entities that use up their format get longer surrogates, none fails."""
+    values = [f"password=-----{i}" for i in range(7)] + [f"password=+++++{i}" for i in range(10)]
+    rows = replace_pii(documents(spark, *[(i, v, "s") for i, v in enumerate(values)]), "k").collect()
+    new = [r["text"] for r in rows]
+    assert len(set(new)) == 17 and not set(new) & set(values) and all(re.fullmatch(r"password=(-{5}|\+{5})\d{3}", t) for t in new)
+    numbers = [("ssn", f"{i:03d}") for i in range(900)] + [("ip", f"10.0.0.{i}") for i in range(200)]
+    found = assign(stored(spark.createDataFrame(numbers, "kind string, canon string")), "k").collect()
+    assert len({(r["kind"], r["surrogate"]) for r in found} | set(numbers)) == 2200
+    assert {len(r["surrogate"]) for r in found if r["kind"] == "ssn"} == {5}
+
+
+# a second version, one entity after the other ------------------------------------------------------
+
+
+def keyed(key, *salt):
+    inner = hashlib.sha256("\x01".join([key, *salt]).encode()).hexdigest()
+    return hashlib.sha256("\x01".join(["outer", key, inner]).encode()).hexdigest()
+
+
+def classes(text, digest, hexadecimal):
+    out = ""
+    for i, c in enumerate(text):
+        n = int(digest[i * 2 % 126 :][:2], 16) + i * 7
+        sets = [("0123456789abcdef", "0123456789abcdef")] if hexadecimal else []
+        sets += [("0123456789",) * 2, ("abcdefghijklmnopqrstuvwxyz",) * 2, ("ABCDEFGHIJKLMNOPQRSTUVWXYZ",) * 2]
+        out += next((s[n % len(s)] for own, s in sets if c in own), c)
+    return out
+
+
+def parts(kind, canon):
+    """What stays before, and what changes."""
+    at = {"card": 1, "iban": 4}.get(kind, 0)
+    if kind in ("phone", "key"):
+        at = re.match(COUNTRY_CODE if kind == "phone" else "AKIA|gh[pousr]_|sk-", canon).end()
+    return (canon[:at], canon[at:-1]) if kind == "card" else tuple(canon.split("@")[::-1]) if kind == "email" else (canon[:at], canon[at:])
+
+
+def by_hand(kind, canon, crowd, attempt, key):
+    digest = "".join(keyed(key, kind, canon, str(attempt), x) for x in "ab")
+    digits = (digest[::-1] + digest).translate(str.maketrans("abcdef", "385061"))
+    if kind == "ip":
+        return ".".join(str(int(digest[8 * k : 8 * k + 8], 16) % (223 if k == 0 else 254) + 1) for k in range(4))
+    if ":" in kind:
+        sort, script, *gender = kind.split(":")
+        g = gender[0] if gender else "s"
+        if gender and attempt == 0:
+            return GIVEN[script, g][int(digest[:8], 16) % len(GIVEN[script, g])]
+        size = max(math.ceil(math.log10(crowd * 16) / math.log10(16)), 2 if gender else 3)
+        return "".join(SYLLABLES[script][int(digest[3 * i - 1], 16)] for i in range(1, size + 1)).capitalize() + ENDINGS[script, g]
+    before, free = parts(kind, canon)
+    hexadecimal = kind in ("hex", "secret") and re.fullmatch("[0-9a-f]+", canon) is not None
+    room = sum(math.log10(16) if hexadecimal else 1 if c.isdigit() else math.log10(26) for c in free if c in "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    new = classes(free, digest, hexadecimal) + digits[: math.ceil(max(0, math.log10(crowd * 16) - room))]
+    if kind == "card":
+        return next(before + new + d for d in "0123456789" if luhn(before + new + d))
+    if kind == "iban":
+        rest = next(f"{n:02d}" for n in range(2, 99) if iban(f"{canon[:2]}{n:02d}{new}")) if iban(canon) else digits[29:31]
+        return canon[:2] + rest + new
+    if kind == "email":
+        own = keyed(key, "domain", before) * 2
+        *labels, tld = before.split(".")
+        return new + "@" + ".".join([*[x if x == "example" else classes(x, own, False) for x in labels], tld])
+    return before + new
+
+
+def test_assignment_against_a_second_version(spark):
+    entities = [("card", f"4{i:03d}11112222333"[:15] + "0") for i in range(30)] + [("phone", f"+4420{i:04d}") for i in range(40)] + [("phone", f"+1{i:02d}") for i in range(60)] + [("ssn", f"{i:09d}") for i in range(20)] + [("ip", f"1.2.{i}.4") for i in range(20)]
+    entities += [("secret", f"-----{i}") for i in range(7)] + [("secret", f"ab{i:02d}cdEF/") for i in range(30)] + [("hex", f"{i:032x}") for i in range(20)] + [("key", f"AKIA{i:04d}ABCDEFGHIJKL") for i in range(20)] + [("email", f"u.{i}@corp{i % 3}.co.uk") for i in range(40)] + [("email", "x@a.example.com")]
+    entities += [("iban", "DE89370400440532013000"), ("iban", "DE88370400440532013000"), ("iban", "GB82WEST12345698765432")] + [(f"given:{s}:{g}", f"N{i}") for s in SYLLABLES for g in "fmn" for i in range(25)] + [(f"surname:{s}", f"N{i}") for s in SYLLABLES for i in range(40)]
+    crowds = Counter()
+    look = lambda k, c: (k, "" if ":" in k or k == "ip" else (parts(k, c)[0] if k in ("phone", "email") else c[:2] if k in ("card", "iban", "key") else "", str(len(c)) if k in ("hex", "secret") and re.fullmatch("[0-9a-f]+", c) else re.sub("[A-Z]", "A", re.sub("[a-z]", "a", re.sub("[0-9]", "0", c[2:] if k == "card" else parts(k, c)[1])))))
+    for k, c in entities:
+        crowds[look(k, c)] += 1
+    taken, pending, want = set(entities), set(entities), {}
+    for attempt in count():
+        tried = {}
+        for k, c in sorted(pending):
+            new = (k, by_hand(k, c, crowds[look(k, c)], attempt, "a key"))
+            if new not in taken and new not in tried:
+                tried[new] = (k, c)
+        want |= {own: new[1] for new, own in tried.items()}
+        taken |= set(tried)
+        pending -= set(tried.values())
+        if not pending:
+            break
+    found = {(r["kind"], r["canon"]): r["surrogate"] for r in assign(stored(spark.createDataFrame(entities, "kind string, canon string")), "a key").collect()}
+    assert {k: (found[k], want[k]) for k in want if found.get(k) != want[k]} == {} and len(found) == len(want) and attempt > 0
+
+
+def test_places_against_a_second_version(spark):
+    """Which parts of a text are replaced, by another engine; all between them stays."""
+    texts = [TEXT, "Paris Hilton met Mr. Smith, Mary Jones; x@y.com", "no mention", "password: hunter22. Dear Ada Lovelace, call (415) 555-2671", "7 1.2.3.4 and 10.0.0.1", "Mrs. A. B. Jones, Prof. Dr. van der Berg", "4111 1111 1111 1111 4111111111111112"]
+    found = {r["doc_id"]: r for r in replace_pii(documents(spark, *[(i, t, "s") for i, t in enumerate(texts)]), "k").collect()}
+    for i, t in enumerate(texts):
+        spans = [m.span() for m in regex.finditer(ANY, t)]
+        spans = [(a, b) for a, b in spans if not (re.fullmatch("[0-9 -]{13,}", t[a:b]) and not luhn(re.sub(r"\D", "", t[a:b])))]
+        kept = [t[b:a] for (_, b), (a, _) in zip([(0, 0), *spans], [*spans, (len(t), len(t))], strict=True)]
+        assert found[i]["n_replaced"] == len(spans), t
+        assert re.fullmatch("(.+)".join(map(re.escape, kept)), found[i]["text"], re.S)
