@@ -5,11 +5,16 @@ is a smaller Euclidean distance to it. Vectors are keyed by their nearest pivot
 to it, sorted by that key and packed into blocks, each an annulus around its pivot. For a query the
 triangle inequality bounds all scores inside an annulus; a worker goes through its annuli from the
 best bound on, and leaves out those whose bound is below the query's k-th best score so far.
+
+Rows so long that 64-bit sums could overflow are kept apart from the index, which they would spoil:
+they are scored against every query, and as queries against every row, in blocks, by extended
+precision with an error bound first and by exact integers where that leaves a doubt.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -26,35 +31,74 @@ BLOCK_ROWS = 1024
 QUERY_BLOCK = 8192
 #: Queries that are scored against a block at a time.
 CHUNK = 1024
+#: Sums of squares from which a row is huge: below it no sum of products leaves 64 bits.
+HUGE = 2.0**60
+#: Rows and queries of a block of exact scoring.
+EXACT_ROWS, EXACT_QUERIES = 256, 512
 PACKED = "pivot int, near double, far double, n int, dim int, ids binary, data binary"
 
 
-def _matrix(column: list, scale: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows that take part (no nulls, only finite components), and floor(scale * x), padded with zeros."""
-    ok = np.array([v is not None and all(c is not None for c in v) and bool(np.isfinite(np.asarray(v, dtype=float)).all()) for v in column], dtype=bool)
-    rows = [np.asarray(v, dtype=float) for v, good in zip(column, ok, strict=True) if good]
-    out = np.zeros((len(rows), max(map(len, rows), default=0)))
-    for k, v in enumerate(rows):
-        out[k, : len(v)] = v
-    return ok, np.floor(scale * out)
-
-
 def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
-    """vec_id and q, floor(scale * x) as 64-bit integers, of the rows that take part."""
+    """vec_id, q and norm of the rows that take part (no nulls, only finite components). q: floor(scale
+    * x) as 64-bit integers; of huge rows, whose norm is no less than HUGE, as extended floats, which
+    hold it exactly."""
     small_batches(vectors.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column("embedding").to_pylist()
-            ok, q = _matrix(column, scale)
-            lengths = [len(v) for v, good in zip(column, ok, strict=True) if good]
-            raw = [q[k, :n].astype("<i8").tobytes() for k, n in enumerate(lengths)]
-            ids = np.array(batch.column("vec_id").to_pylist(), dtype=np.int64)[ok]
-            norm = (q * q).sum(axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(raw, pa.binary()), pa.array(norm)], names=["vec_id", "q", "norm"])
+            ids, raw, norms, huge = [], [], [], []
+            for i, v in zip(batch.column("vec_id").to_pylist(), batch.column("embedding").to_pylist(), strict=True):
+                if any(c is None for c in v):
+                    continue
+                x = np.asarray(v, dtype=np.longdouble)
+                if not np.isfinite(x).all():
+                    continue
+                q = np.floor(scale * x)
+                norm = float(min((q * q).sum(), np.longdouble(1e308))) if len(q) else 0.0
+                ids.append(i)
+                norms.append(norm)
+                huge.append(norm >= HUGE)
+                raw.append(q.tobytes() if norm >= HUGE else q.astype("<i8").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(raw, pa.binary()), pa.array(norms, pa.float64()), pa.array(huge, pa.bool_())], names=["vec_id", "q", "norm", "huge"])
 
     own = vectors.where("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
-    return own.mapInArrow(run, "vec_id long, q binary, norm double")
+    return own.mapInArrow(run, "vec_id long, q binary, norm double, huge boolean")
+
+
+def _extended(raw: list[bytes], huge: list[bool]) -> np.ndarray:
+    rows = [np.frombuffer(r, np.longdouble if h else "<i8").astype(np.longdouble) for r, h in zip(raw, huge, strict=True)]
+    out = np.zeros((len(rows), max(map(len, rows), default=0)), dtype=np.longdouble)
+    for k, r in enumerate(rows):
+        out[k, : len(r)] = r
+    return out
+
+
+def _sortable(n: int) -> str:
+    """A text whose order is that of the integers."""
+    digits = str(abs(n))
+    return f"p{len(digits):05d}{digits}" if n >= 0 else f"n{99999 - len(digits):05d}{digits.translate(_NINES)}"
+
+
+_NINES = str.maketrans("0123456789", "9876543210")
+RANKED = "query_id long, vec_id long, score long, exact string"
+
+
+def _exact_best(ids: np.ndarray, q: np.ndarray, vec: np.ndarray, x: np.ndarray, k: int) -> list[tuple]:
+    """The k best rows of x for each of q, of any size, as RANKED."""
+    dim = max(q.shape[1], x.shape[1], 1)
+    q, x = _widened(q, dim), _widened(x, dim)
+    score = q @ x.T
+    error = (np.abs(q) @ np.abs(x).T) * (dim + 2) * np.finfo(np.longdouble).eps
+    out = []
+    for i in range(len(q)):
+        others = np.flatnonzero(vec != ids[i])
+        low = np.sort(score[i, others] - error[i, others])
+        cut = low[-k] if len(low) >= k else -np.inf
+        at = others[score[i, others] + error[i, others] >= cut]
+        own = [int(c) for c in q[i]]
+        exact = sorted(((-sum(a * int(b) for a, b in zip(own, x[j], strict=True)), int(vec[j])) for j in at))[:k]
+        out += [(int(ids[i]), v, max(-(2**63), min(2**63 - 1, -s)), _sortable(-s)) for s, v in exact]
+    return out
 
 
 def _unpack(raw: list[bytes]) -> np.ndarray:
@@ -154,7 +198,8 @@ class PivotIndex:
                 pivot, near, far = (part[c].to_numpy() for c in ("pivot", "near", "far"))
                 d = to_pivot[:, pivot]
                 least = np.maximum(np.maximum(near - d, d - far), 0)
-                most = (norm[:, None] + longest - least * least) / 2 + 1e-3
+                whole = norm[:, None] + longest
+                most = (whole - least * least) / 2 + 1e-3 + 1e-6 * whole  # the distances' rounding
                 for b in np.argsort(-most.max(axis=0), kind="stable"):
                     open_ = np.flatnonzero(most[:, b] >= best.bound())
                     if len(open_):
@@ -216,11 +261,50 @@ class _Best:
         return self.query, self.vec, self.score
 
 
+def _exact_search(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """RANKED rows that hold the k best of rows for each query; both (vec_id, q, norm, huge). Queries
+    come in bounded blocks, each of which goes once over rows."""
+    spark = rows.sparkSession
+    groups = max(1, -(-queries.count() // EXACT_QUERIES))
+    found = [spark.createDataFrame([], RANKED)]
+    for g in range(groups):
+        part = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(groups)) == g).collect()
+        if not part:
+            continue
+        shipped = spark.sparkContext.broadcast((np.array([r["vec_id"] for r in part], dtype=np.int64), [bytes(r["q"]) for r in part], [r["huge"] for r in part]))
+
+        def run(parts: Iterator[pd.DataFrame], shipped: Any = shipped) -> Iterator[pd.DataFrame]:
+            ids, raw, huge = shipped.value
+            q = _extended(raw, huge)
+            for part in parts:
+                for a in range(0, len(part), EXACT_ROWS):
+                    one = part.iloc[a : a + EXACT_ROWS]
+                    best = _exact_best(ids, q, one["vec_id"].to_numpy(), _extended(one["q"].tolist(), one["huge"].tolist()), k)
+                    yield pd.DataFrame(best, columns=["query_id", "vec_id", "score", "exact"])
+
+        found.append(rows.mapInPandas(run, RANKED))
+    return union(found)
+
+
 def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256) -> DataFrame:
     """query_id, rank, vec_id and score: for each row of vectors (vec_id, embedding) whose vec_id is
     divisible by `every`, the k highest integer inner products with all other rows, all if fewer.
     Rows without an id, or with a null vector, or null or non-finite components take no part; a
-    shorter vector counts as padded with zeros. Rows are told apart by vec_id."""
+    shorter vector counts as padded with zeros. Rows that share an id are candidates of their own,
+    so an id can fill several ranks, but none of a query of that id; the first of them is the query.
+    Ranks follow exact integers; a score beyond 64 bits is given as the nearest long."""
     rows = stored(quantised(vectors, scale))
-    queries = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
-    return PivotIndex.build(rows).search(queries, k)
+    first = rows.where(F.col("vec_id") % every == 0)
+    queries = first.groupBy("vec_id").agg(F.min(F.struct("q", "norm", "huge")).alias("r")).select("vec_id", "r.*")
+    plain, huge = rows.where("not huge").drop("huge"), rows.where("huge")
+    found = PivotIndex.build(plain).search(queries.where("not huge"), k)
+    if huge.isEmpty():
+        return found
+    text = F.abs(F.col("score")).cast("string")
+    exact = F.when(F.col("score") >= 0, F.concat(F.lit("p"), F.lpad(F.length(text).cast("string"), 5, "0"), text))
+    exact = exact.otherwise(F.concat(F.lit("n"), F.lpad((99999 - F.length(text)).cast("string"), 5, "0"), F.translate(text, "0123456789", "9876543210")))
+    queries = stored(queries)
+    all_ = found.select("query_id", "vec_id", "score", exact.alias("exact"))
+    all_ = all_.unionByName(_exact_search(queries.where("not huge"), huge, k)).unionByName(_exact_search(queries.where("huge"), rows, k))
+    best = Window.partitionBy("query_id").orderBy(F.col("exact").desc(), "vec_id")
+    return all_.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

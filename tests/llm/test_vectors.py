@@ -1,5 +1,8 @@
 """Near duplicates and top-k against brute force."""
 
+import math
+from fractions import Fraction
+
 import numpy as np
 import pytest
 
@@ -111,3 +114,32 @@ def test_few_and_awkward(spark):
         found.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
     assert found[0] == [(100, 256 * 256 * 3 * 10**7), (1, 327680), (4, 327680), (50, 327680)] and set(found) == {0, 50, 100}
     assert top_k(df.where("1 = 0")).count() == 0
+
+
+def test_huge_components(spark, monkeypatch):
+    """A row of any finite size takes its exact place and costs no other query its answer."""
+    monkeypatch.setattr(vector_search, "EXACT_ROWS", 7)
+    monkeypatch.setattr(vector_search, "EXACT_QUERIES", 2)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(300, 4))
+    x[[3, 50, 77, 78]] = [[1e300, 0, 0, 0], [-1e300, 1e10, 0, 1], [1.7e308, -1.7e308, 0, 0], [1e300, 0, 0, 1]]
+    x[[100, 101, 102]] *= 1e8
+    x[150:160] = [3e9, 1, 2, 3]
+    x[200, 0] = 2.0**52 + 1
+    whole = [[math.floor(Fraction(c) * 256) for c in v.tolist()] for v in x]
+    want = {}
+    for i in range(0, 300, 50):
+        scores = sorted((-sum(a * b for a, b in zip(whole[i], whole[j], strict=True)), j) for j in range(300) if j != i)[:5]
+        want[i] = [(n, j, max(-(2**63), min(2**63 - 1, -s))) for n, (s, j) in enumerate(scores, 1)]
+    found = {}
+    for r in top_k(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect():
+        found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert found == want
+    only = top_k(spark.createDataFrame([(50, [1e300, 0.0]), (1, [-1e300, 0.0]), (2, [2e300])], "vec_id long, embedding array<double>")).collect()
+    assert [(r["rank"], r["vec_id"], r["score"]) for r in sorted(only, key=lambda r: r["rank"])] == [(1, 2, 2**63 - 1), (2, 1, -(2**63))]
+
+
+def test_repeated_ids(spark):
+    """Rows of one id are candidates each; the id's own query takes none of them."""
+    found = top_k(spark.createDataFrame([(0, [1.0]), (1, [3.0]), (1, [2.0]), (0, [9.0])], "vec_id long, embedding array<double>")).collect()
+    assert sorted((r["rank"], r["vec_id"], r["score"]) for r in found) == [(1, 1, 3 * 65536), (2, 1, 2 * 65536)]
