@@ -2,9 +2,10 @@
 
 Pairs come from a join. While the rules are few they are broadcast, after their number was checked,
 and contexts stay where they are; contexts are dealt by id before the join, so ranking needs no
-second exchange of the far more numerous pairs. Beyond BROADCAST_RULES an equality dimension gives
-the join a key: rules with a value there meet contexts by a hash join, and only its wildcards and
-the contexts without a value go the other way.
+second exchange of the far more numerous pairs. Beyond that an equality dimension gives the join a
+key: rules with a value there meet contexts by a hash join, whose hot keys adaptive execution splits,
+and only its wildcards and the contexts without a value meet all of the other side, in parts of the
+rules that may be broadcast. There is no cartesian product in any plan.
 """
 
 from __future__ import annotations
@@ -18,16 +19,18 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ternary_rules.functions.sentinels import SPARK_TYPE, is_sentinel
+from ternary_rules.functions.sentinels import SPARK_TYPE, is_sentinel, literal, not_set, unknown_sentinel_for
 from ternary_rules.functions.strategies import DimensionCompiler, conjunction, ctx
 from ternary_rules.plans.model import SETS, DataType, Dimension, DimensionsMetadata, HitPolicy, MatchStrategy
 from ternary_rules.sources.contexts import context_literals, prepare_contexts, reject_reserved, with_index
 
-from .hit_policy import HitPolicyViolationError, apply_cardinality, check_assertions, ordering_keys, selection_info_from_metadata
+from .hit_policy import ONE_ROW, HitPolicyViolationError, apply_cardinality, check_assertions, ordering_keys, selection_info_from_metadata
 from .results import BatchRuleResult, ExplainResult, RuleResult
 
-#: Rules that are sent to every executor at most.
-BROADCAST_RULES = 50_000
+#: Rules, and bytes of them as JSON, that one broadcast sends to every executor at most.
+BROADCAST_RULES, BROADCAST_BYTES = 50_000, 128 << 20
+#: Broadcasts, each of a part of the rules, that one evaluation makes at most.
+MOST_PARTS = 64
 _CLASSES = {"string": "text", "boolean": "bool", "date": "time", "timestamp": "time", "timestamp_ntz": "time"}
 
 
@@ -57,15 +60,16 @@ class ExpressionRulesEngine:
         if dimension_metadata is not None and dimension_expressions is not None:
             raise ValueError("give dimension_metadata or dimension_expressions, not both")
         if dimension_metadata is None and not dimension_expressions:
-            raise ValueError("Must provide dimension_metadata or dimension_expressions")
+            raise ValueError("Must provide what the columns of the rules mean, as metadata or as expressions")
         reject_reserved(rules, "rules")
         self.rules, self.metadata, self.broadcast_rules = rules, dimension_metadata, broadcast_rules
         if dimension_metadata is not None:
             self._check_schema(rules, dimension_metadata)
+            self._check_cells(rules, dimension_metadata)
             self.expressions = DimensionCompiler().compile_dimensions(dimension_metadata)
         else:
             self.expressions = {n: e if isinstance(e, Column) else e(_Named(), _Named("__ctx_")) for n, e in dimension_expressions.items()}
-        self._order_field, self._indexed, self._n_rules = rule_order_field, None, None
+        self._order_field, self._indexed, self._size = rule_order_field, None, None
 
     @staticmethod
     def _check_schema(rules: DataFrame, metadata: DimensionsMetadata) -> None:
@@ -79,6 +83,35 @@ class ExpressionRulesEngine:
                 if have != "void" and _class(have) != _class(want):
                     raise ValueError(f"dimension '{d.dimension_name}': column '{f}' is {types[f]}, not {want}")
 
+    @staticmethod
+    def _check_cells(rules: DataFrame, metadata: DimensionsMetadata) -> None:
+        """One job, if there are sets or row patterns: lists hold no nulls, and the wildcard only by
+        itself; patterns can be read."""
+        bad = []
+        for d in metadata.dimensions:
+            cell = F.col(f"`{d.resolved_rule_field}`")
+            if d.match_strategy in SETS:
+                values = cell.cast(f"array<{SPARK_TYPE[d.data_type]}>")
+                mark, none = literal(unknown_sentinel_for(d.data_type), d.data_type), not_set(d.data_type)
+                mixed = F.array_contains(values, mark) & (F.size(F.array_distinct(values)) > 1)
+                # without its nulls a list is shorter; array_contains would not tell of them
+                wrong = F.coalesce(mixed, F.lit(False)) | F.coalesce(F.array_contains(values, none), F.lit(False)) | (F.size(F.array_compact(values)) < F.size(values))
+                bad.append((f"dimension '{d.dimension_name}': a list in '{d.resolved_rule_field}' holds a null or a reserved mark", F.max(F.coalesce(wrong, F.lit(False)))))
+            elif d.match_strategy is MatchStrategy.REGEX:
+                text = cell.cast("string")
+                bad.append(("", F.max(F.when(~is_sentinel(text, d.data_type), F.regexp_like(F.lit(""), text)))))
+        if not bad:
+            return
+        try:
+            found = rules.agg(*[c.alias(str(k)) for k, (_, c) in enumerate(bad)]).first()
+        except Exception as e:
+            if "PatternSyntax" in str(e) or "INVALID_REGEXP" in str(e) or "REGEX" in str(e).upper():
+                raise ValueError(f"a REGEX dimension cannot read a pattern: {str(e).splitlines()[0]}") from e
+            raise
+        for (message, _), wrong in zip(bad, found, strict=True):
+            if wrong and message:  # of a pattern it is enough that it was read
+                raise ValueError(message)
+
     # rules -------------------------------------------------------------------------------------
 
     @property
@@ -93,10 +126,13 @@ class ExpressionRulesEngine:
         return self._indexed
 
     @property
-    def n_rules(self) -> int:
-        if self._n_rules is None:
-            self._n_rules = self.rules.count()
-        return self._n_rules
+    def rules_size(self) -> tuple[int, int]:
+        """The number of rules and their bytes as JSON, which bounds what a broadcast of them takes."""
+        if self._size is None:
+            text = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in self.rules.columns])))
+            n, size = self.rules.agg(F.count(F.lit(1)), F.coalesce(F.sum(text), F.lit(0))).first()
+            self._size = (int(n), int(size))
+        return self._size
 
     def _active(self, dimensions: list[str] | None) -> list[str]:
         if not dimensions:
@@ -119,7 +155,7 @@ class ExpressionRulesEngine:
         return values.withColumn("__survived", conjunction(t) >= 0).withColumn("__specificity", reduce(add, [(x == 1).cast("int") for x in t]))
 
     def _finish(self, df: DataFrame, active: list[str], observability: bool) -> DataFrame:
-        away = ["__survived", "__rule_index", *[ctx(n) for n in self.expressions], *([] if observability else [f"__t_{n}" for n in active])]
+        away = ["__survived", *[ctx(n) for n in self.expressions], *([] if observability else [f"__t_{n}" for n in active])]
         return df.drop(*away)
 
     def _policy(self, hit_policy: HitPolicy | None) -> HitPolicy:
@@ -147,10 +183,8 @@ class ExpressionRulesEngine:
         if top_n is not None:
             ranked = ranked.orderBy("__rank").limit(top_n)
         cut = top_n is not None or min_specificity is not None
-        # the order of rules stays beside the result, for select(); it is no output column
-        out = apply_cardinality(ranked, policy)
-        result = self._finish(out, active, include_observability)
-        return _Selectable(result, active, replace(info, truncated=cut or policy in (HitPolicy.FIRST, HitPolicy.PRIORITY, HitPolicy.ANY)), survivors, self, include_observability)
+        result = self._finish(apply_cardinality(ranked, policy, [], min_specificity is not None), active, include_observability)
+        return RuleResult(result, active, replace(info, truncated=cut or policy in ONE_ROW))
 
     def explain(self, context: Any, dimensions: list[str] | None = None) -> ExplainResult:
         """All rules, scored; none dropped, none ranked."""
@@ -176,20 +210,33 @@ class ExpressionRulesEngine:
         rules = self.indexed_rules if indexed else self.rules
         if on:
             return contexts.join(rules, on)
-        if self.n_rules <= self.broadcast_rules:
-            return contexts.crossJoin(F.broadcast(rules))  # of a checked size
-        key = self._key_dimension(active)
+        n, size = self.rules_size
+        key = None if self._fits(n, size) else self._key_dimension(active)
         if key is None:
-            return contexts.crossJoin(rules)
+            return self._with_all(contexts, rules, n, size)
         r = F.col(f"`{key.resolved_rule_field}`").cast(SPARK_TYPE[key.data_type])
         c = F.col(f"`{ctx(key.dimension_name)}`")
         open_rule = is_sentinel(r, key.data_type)
-        met = contexts.join(rules.where(~open_rule), c == r)
-        wild = contexts.crossJoin(rules.where(open_rule))
-        missing = contexts.where(is_sentinel(c, key.data_type)).crossJoin(rules.where(~open_rule))
-        if key.match_strategy is MatchStrategy.EXACT_KEY:
-            return met.unionByName(wild)
-        return met.unionByName(wild).unionByName(missing)
+        n_open = rules.where(open_rule).count()
+        parts = [contexts.join(rules.where(~open_rule), c == r), self._with_all(contexts, rules.where(open_rule), n_open, size)]
+        missing = contexts.where(is_sentinel(c, key.data_type))
+        # EXACT_KEY takes a missing value for a mismatch; where no context lacks the value there is nothing to pair
+        if key.match_strategy is not MatchStrategy.EXACT_KEY and (contexts.isStreaming or not missing.isEmpty()):
+            parts.append(self._with_all(missing, rules.where(~open_rule), n - n_open, size))
+        return reduce(DataFrame.unionByName, parts)
+
+    def _fits(self, n: int, size: int) -> bool:
+        return n <= self.broadcast_rules and size <= BROADCAST_BYTES
+
+    def _with_all(self, contexts: DataFrame, rules: DataFrame, n: int, size: int) -> DataFrame:
+        """Every pair, by broadcasts of parts of the rules that each fit."""
+        parts = max(1, -(-n // max(self.broadcast_rules, 1_000)), -(-size // BROADCAST_BYTES))
+        if parts > MOST_PARTS:
+            raise ValueError(f"{n} rules of {size} bytes would meet every context: give an EXACT or EXACT_KEY dimension with few wildcards, or raise broadcast_rules")
+        if parts == 1:
+            return contexts.crossJoin(F.broadcast(rules))  # of a checked size
+        part = F.pmod(F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rules.columns]))), F.lit(2 * parts))
+        return reduce(DataFrame.unionByName, [contexts.crossJoin(F.broadcast(rules.where(part == k))) for k in range(2 * parts)])
 
     def evaluate_batch(self, contexts: DataFrame, *, context_id_field: str | None = None, dimensions: list[str] | None = None, hit_policy: HitPolicy | None = None, priority_field: str | None = None, top_n_per_context: int | None = None, min_specificity: int | None = None, include_observability: bool = True, chunk_size: int | None = None, check_ids: bool = True) -> BatchRuleResult:
         """The ranked survivors of every context; for each id what evaluate() gives for it alone.
@@ -214,23 +261,9 @@ class ExpressionRulesEngine:
             else:  # the first n rows that are left, whose ranks may have gaps
                 again = Window.partitionBy("__context_id").orderBy("__rank")
                 ranked = ranked.withColumn("__nth", F.row_number().over(again)).where(F.col("__nth") <= top_n_per_context).drop("__nth")
-        out = self._finish(apply_cardinality(ranked, policy), active, include_observability)
+        out = self._finish(apply_cardinality(ranked, policy, ["__context_id"], min_specificity is not None), active, include_observability)
         cut = top_n_per_context is not None or min_specificity is not None
-        return BatchRuleResult(out, active, context_id_field, replace(info, truncated=True if cut else info.truncated))
-
-
-class _Selectable(RuleResult):
-    """A result that keeps the survivors' rule order for select()."""
-
-    def __init__(self, dataframe: DataFrame, active: list[str], info: Any, survivors: DataFrame, engine: ExpressionRulesEngine, observability: bool):
-        super().__init__(dataframe, active, info)
-        self._survivors_of, self._engine, self._observability = survivors, engine, observability
-
-    def select(self, policy: HitPolicy, priority_field: str | None = None) -> RuleResult:
-        if self._info.truncated:
-            return super().select(policy, priority_field)
-        whole = RuleResult(self._survivors_of, self._active, self._info).select(policy, priority_field)
-        return RuleResult(self._engine._finish(whole.survivors, self._active, self._observability), self._active, whole._info)
+        return BatchRuleResult(out, active, context_id_field, replace(info, truncated=cut or policy in ONE_ROW))
 
 
 __all__ = ["BROADCAST_RULES", "ExpressionRulesEngine", "HitPolicyViolationError"]

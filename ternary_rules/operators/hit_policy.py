@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ternary_rules.plans.model import DimensionsMetadata, HitPolicy
@@ -74,5 +74,14 @@ def check_assertions(survivors: DataFrame, policy: HitPolicy, info: SelectionInf
         raise HitPolicyViolationError(policy, offending, f"hit policy {what}{whom}")
 
 
-def apply_cardinality(ranked: DataFrame, policy: HitPolicy) -> DataFrame:
-    return ranked.where("__rank = 1") if policy in ONE_ROW else ranked
+def apply_cardinality(ranked: DataFrame, policy: HitPolicy, keys: list[str], gaps: bool = False) -> DataFrame:
+    """Policies of one row keep the first that is left, by context (keys: the columns that tell
+    contexts apart). gaps: rows were taken away since they were ranked, so that need not be rank 1."""
+    if policy not in ONE_ROW:
+        return ranked
+    if not gaps:
+        return ranked.where("__rank = 1")
+    if not keys:
+        return ranked.orderBy("__rank").limit(1)
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("__rank"))
+    return ranked.withColumn("__nth", nth).where("__nth = 1").drop("__nth")

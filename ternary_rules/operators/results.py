@@ -14,18 +14,19 @@ from .hit_policy import ONE_ROW, SelectionInfo, apply_cardinality, check_asserti
 
 
 class RuleResult:
-    """The ranked survivors of one context."""
+    """The ranked survivors of one context. The frame it is made of has their place among the rules,
+    `__rule_index`, which select() orders by and no accessor shows."""
 
     def __init__(self, dataframe: DataFrame, active_dimensions: list[str], selection_info: SelectionInfo | None = None):
         self._df, self._active, self._info = dataframe, list(active_dimensions), selection_info
 
     @property
     def survivors(self) -> DataFrame:
-        return self._df
+        return self._df.drop("__rule_index")
 
     @property
     def best_match(self) -> DataFrame:
-        return self._df.orderBy("__rank").limit(1)
+        return self.survivors.orderBy("__rank").limit(1)
 
     @property
     def count(self) -> int:
@@ -43,12 +44,14 @@ class RuleResult:
         return {d: row[f"__t_{d}"] for d in self._active}
 
     def at_least(self, specificity: int) -> DataFrame:
-        return self._df.where(F.col("__specificity") >= specificity)
+        return self.survivors.where(F.col("__specificity") >= specificity)
 
     def select(self, policy: HitPolicy, priority_field: str | None = None) -> RuleResult:
         """The same survivors under another policy."""
         if self._info is None:
             raise ValueError("this result carries no selection info")
+        if "__rule_index" not in self._df.columns:
+            raise ValueError("this result carries no order of rules")
         if self._info.truncated:
             raise ValueError("a truncated result cannot be selected from; evaluate without top_n and min_specificity")
         policy = HitPolicy(policy)
@@ -56,7 +59,7 @@ class RuleResult:
         order = ordering_keys(policy, info.priority_field)
         check_assertions(self._df, policy, info, [])
         ranked = self._df.drop("__rank").withColumn("__rank", F.row_number().over(Window.orderBy(*order)))
-        return RuleResult(apply_cardinality(ranked, policy), self._active, replace(info, truncated=policy in ONE_ROW))
+        return RuleResult(apply_cardinality(ranked, policy, []), self._active, replace(info, truncated=policy in ONE_ROW))
 
 
 class ExplainResult:
@@ -92,7 +95,8 @@ class ExplainResult:
 
 
 class BatchRuleResult:
-    """Survivors of many contexts, a row for each context and rule."""
+    """Survivors of many contexts, a row for each context and rule, with `__rule_index`, the rule's
+    place among the rules."""
 
     def __init__(self, dataframe: DataFrame, active_dimensions: list[str], context_id_field: str | None = None, selection_info: SelectionInfo | None = None):
         self._df, self._active, self._id, self._info = dataframe, list(active_dimensions), context_id_field, selection_info
@@ -109,6 +113,11 @@ class BatchRuleResult:
     def active_dimensions(self) -> list[str]:
         return list(self._active)
 
+    @property
+    def context_id_field(self) -> str:
+        """The contexts' column that tells them apart, or the name of the ids they were given."""
+        return self._id or "__context_id"
+
     @property
     def best_matches(self) -> DataFrame:
         """Of each context the row that ranks first."""

@@ -4,6 +4,7 @@ for DuckDB and shares nothing with the compiler but the rule rows."""
 from __future__ import annotations
 
 import functools
+import uuid
 from collections.abc import Callable
 from datetime import date, datetime
 from typing import Any
@@ -14,9 +15,12 @@ from pyspark.sql import functions as F
 from ternary_rules.functions.sentinels import NOT_SET, UNKNOWN, UNKNOWN_DATE, UNKNOWN_DATETIME, UNKNOWN_NUMERIC
 from ternary_rules.operators.accumulator import AccumulatorEngine
 from ternary_rules.operators.filter_engine import ExpressionRulesEngine
+from ternary_rules.operators.hit_policy import HitPolicyViolationError
+from ternary_rules.operators.lattice import Lattice
 from ternary_rules.plans.model import Aggregate, AggregateOp, Dimension, DimensionRole, DimensionsMetadata, HitPolicy, MatchStrategy
 from ternary_rules.sources.contexts import with_index
-from ternary_rules.streaming.adapter import score_stream
+from ternary_rules.sources.storage import read_rules, shared_dir, write_result
+from ternary_rules.streaming.adapter import evaluate_stream, score_stream
 
 U, UN, UD, UDT = UNKNOWN, UNKNOWN_NUMERIC, UNKNOWN_DATE, UNKNOWN_DATETIME
 S, P = MatchStrategy, HitPolicy
@@ -177,6 +181,46 @@ def min_spec_topn_rule_order(spark, sf_dir):
     return shaped(orders(spark, sf_dir, hit_policy=P.RULE_ORDER, min_specificity=1, top_n_per_context=2).survivors)
 
 
+@query("first_min_specificity", f"SELECT id, rule_name, specificity, rnk FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY rnk) AS nth FROM ({_GAPS})) WHERE nth = 1")
+def first_min_specificity(spark, sf_dir):
+    """The first rule of those that are specific enough, which may not be the first of all."""
+    return shaped(orders(spark, sf_dir, hit_policy=P.FIRST, min_specificity=1).survivors)
+
+
+@query("batch_rule_index", ranked_sql(ORDER_RULES, ORDER_SOURCE, ORDER_TERMS, extra=", CAST(idx AS BIGINT) AS place"))
+def batch_rule_index(spark, sf_dir):
+    return shaped(orders(spark, sf_dir).survivors, place=F.col("__rule_index"))
+
+
+@query("for_context_select", f"SELECT rule_name, specificity, rnk FROM ({ranked_sql(ORDER_RULES, ORDER_SOURCE, ORDER_TERMS, 'idx', 'WHERE rnk = 1')}) WHERE id = (SELECT min(o_orderkey) FROM orders)")
+def for_context_select(spark, sf_dir):
+    least = table(spark, sf_dir, "orders").agg(F.min("o_orderkey")).first()[0]
+    found = orders(spark, sf_dir).for_context(least).select(P.FIRST).survivors
+    return found.select("rule_name", F.col("__specificity").cast("int").alias("specificity"), F.col("__rank").cast("int").alias("rnk"))
+
+
+@query("violation_rows", f"SELECT id, rule_name, specificity FROM (SELECT *, count(*) OVER (PARTITION BY id) AS n FROM ({ranked_sql(ORDER_RULES, ORDER_SOURCE, ORDER_TERMS)})) WHERE n > 1")
+def violation_rows(spark, sf_dir):
+    """What the error of UNIQUE shows: all survivors of the contexts that have several."""
+    try:
+        orders(spark, sf_dir, hit_policy=P.UNIQUE)
+    except HitPolicyViolationError as e:
+        return e.offending.select(F.col("__context_id").alias("id"), "rule_name", F.col("__specificity").cast("int").alias("specificity"))
+    raise AssertionError("UNIQUE let several survivors pass")
+
+
+@query("rules_from_storage", ranked_sql(ORDER_RULES, ORDER_SOURCE, ORDER_TERMS))
+def rules_from_storage(spark, sf_dir):
+    """Rules written and read as Parquet, metadata as YAML, survivors written and read as ORC."""
+    base = f"{shared_dir(spark)}/workload-{uuid.uuid4().hex}"
+    write_result(ORDER_RULES.frame(spark), f"{base}/rules")
+    metadata = DimensionsMetadata.from_yaml(DimensionsMetadata(ORDER_DIMS).to_yaml())
+    own = ExpressionRulesEngine(read_rules(spark, f"{base}/rules"), metadata)
+    found = own.evaluate_batch(table(spark, sf_dir, "orders"), context_id_field="o_orderkey", check_ids=False).survivors
+    write_result(shaped(found), f"{base}/survivors", "orc")
+    return read_rules(spark, f"{base}/survivors", "orc")
+
+
 @query("dimension_subset", ranked_sql(ORDER_RULES, ORDER_SOURCE, {"t_price": ORDER_TERMS["t_price"]}))
 def dimension_subset(spark, sf_dir):
     return shaped(orders(spark, sf_dir, dimensions=["price"]).survivors)
@@ -230,19 +274,23 @@ def range_inclusive(spark, sf_dir):
 
 
 QUANTITIES = Rules("rule_name string, lo double, hi double", ("one_to_ten", 1.0, 10.0), ("ten_to_twenty", 10.0, 20.0), ("to_ten", float(UN), 10.0))
-LINE_SOURCE = "SELECT q AS id, q FROM (SELECT DISTINCT l_quantity AS q FROM lineitem)"
+LINE_SOURCE = "SELECT l_orderkey * 10 + l_linenumber AS id, l_quantity AS q FROM lineitem"
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("long").alias("line"), F.col("l_quantity").alias("q"))
 
 
 @query("range_exclusive", ranked_sql(QUANTITIES, LINE_SOURCE, {"t": f"least({bound('lo', 'q', '>')}, {bound('hi', 'q', '<')})"}))
 def range_exclusive(spark, sf_dir):
     dim = Dimension("q", match_strategy=S.RANGE, data_type="float", range_min_field="lo", range_max_field="hi", range_min_inclusive=False, range_max_inclusive=False)
-    return shaped(batch(spark, sf_dir, table(spark, sf_dir, "lineitem").select(F.col("l_quantity").alias("q")).distinct(), "q", QUANTITIES, [dim]).survivors)
+    return shaped(batch(spark, sf_dir, _lines(spark, sf_dir), "line", QUANTITIES, [dim]).survivors)
 
 
 @query("range_half_open", ranked_sql(QUANTITIES, LINE_SOURCE, {"t": f"least({bound('lo', 'q', '>=')}, {bound('hi', 'q', '<')})"}))
 def range_half_open(spark, sf_dir):
     dim = Dimension("q", match_strategy=S.RANGE, data_type="float", range_min_field="lo", range_max_field="hi", range_max_inclusive=False)
-    return shaped(batch(spark, sf_dir, table(spark, sf_dir, "lineitem").select(F.col("l_quantity").alias("q")).distinct(), "q", QUANTITIES, [dim]).survivors)
+    return shaped(batch(spark, sf_dir, _lines(spark, sf_dir), "line", QUANTITIES, [dim]).survivors)
 
 
 LIMITS = Rules("rule_name string, above double, below double", ("any", float(UN), float(UN)), ("rich", 5000.0, float(UN)), ("poor", float(UN), 0.0), ("middle", 0.0, 5000.0))
@@ -380,6 +428,26 @@ def select_policy(spark, sf_dir):
     return collected.select(P.PRIORITY, "salience").survivors.select("rule_name", F.col("__specificity").cast("int").alias("specificity"), F.col("__rank").cast("int").alias("rnk"))
 
 
+@query("select_twice", ranked_sql(ORDER_RULES, _ALONE, ORDER_TERMS).replace("SELECT id, rule_name", "SELECT rule_name"))
+def select_twice(spark, sf_dir):
+    collected = engine(spark, ORDER_RULES, *ORDER_DIMS).evaluate({"o_orderpriority": "1-URGENT", "o_totalprice": 250000.0})
+    again = collected.select(P.RULE_ORDER).select(P.COLLECT).survivors
+    return again.select("rule_name", F.col("__specificity").cast("int").alias("specificity"), F.col("__rank").cast("int").alias("rnk"))
+
+
+@query("explain_one", f"SELECT CAST(t_priority AS INTEGER) AS priority, CAST(t_price AS INTEGER) AS price, (SELECT count(*) FROM ({ranked_sql(ORDER_RULES, _ALONE, ORDER_TERMS)})) AS survivors FROM ({ranked_sql(ORDER_RULES, _ALONE, ORDER_TERMS, where="WHERE rule_name = 'large'", extra=', t_priority, t_price')})")
+def explain_one(spark, sf_dir):
+    found = engine(spark, ORDER_RULES, *ORDER_DIMS).evaluate({"o_orderpriority": "1-URGENT", "o_totalprice": 250000.0})
+    t = found.explain("large")
+    return spark.createDataFrame([(t["priority"], t["price"], found.count)], "priority int, price int, survivors long")
+
+
+@query("top_n_one_context", ranked_sql(ORDER_RULES, _ALONE, ORDER_TERMS, where="WHERE rnk <= 2").replace("SELECT id, rule_name", "SELECT rule_name"))
+def top_n_one_context(spark, sf_dir):
+    found = engine(spark, ORDER_RULES, *ORDER_DIMS).evaluate({"o_orderpriority": "1-URGENT", "o_totalprice": 250000.0}, top_n=2).survivors
+    return found.select("rule_name", F.col("__specificity").cast("int").alias("specificity"), F.col("__rank").cast("int").alias("rnk"))
+
+
 @query("at_least", ranked_sql(ORDER_RULES, _ALONE, ORDER_TERMS, where="WHERE specificity >= 1").replace("SELECT id, rule_name", "SELECT rule_name"))
 def at_least(spark, sf_dir):
     found = engine(spark, ORDER_RULES, *ORDER_DIMS).evaluate({"o_orderpriority": "1-URGENT", "o_totalprice": 250000.0}).at_least(1)
@@ -414,9 +482,27 @@ def numbered_contexts(spark, sf_dir):
 
 @query("stream_scores", f"SELECT id, rule_name, specificity FROM ({ranked_sql(ORDER_RULES, ORDER_SOURCE, ORDER_TERMS)})")
 def stream_scores(spark, sf_dir):
-    """What the streaming adapter computes for each row, here over the table as a batch."""
-    scored = score_stream(engine(spark, ORDER_RULES, *ORDER_DIMS), table(spark, sf_dir, "orders"), "o_orderkey")
-    return scored.select(F.col("__context_id").alias("id"), "rule_name", F.col("__specificity").cast("int").alias("specificity"))
+    """Orders as a stream of files, scored in append mode and written to a table."""
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    source = spark.readStream.schema(table(spark, sf_dir, "orders").schema).parquet(f"{sf_dir}/orders.parque[t]")
+    scored = score_stream(engine(spark, ORDER_RULES, *ORDER_DIMS), source, "o_orderkey")
+    shown = scored.select(F.col("__context_id").alias("id"), "rule_name", F.col("__specificity").cast("int").alias("specificity"))
+    shown.writeStream.format("parquet").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start(f"{base}/out").awaitTermination()
+    return spark.read.schema(shown.schema).parquet(f"{base}/out")
+
+
+@query("stream_batches", ranked_sql(ORDER_RULES, ORDER_SOURCE, ORDER_TERMS, "idx", "WHERE rnk = 1"))
+def stream_batches(spark, sf_dir):
+    """Orders as a stream whose micro-batches are ranked under a policy."""
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    source = spark.readStream.schema(table(spark, sf_dir, "orders").schema).parquet(f"{sf_dir}/orders.parque[t]")
+
+    def sink(found, number):
+        shaped(found.survivors).write.mode("overwrite").parquet(f"{base}/out/batch={number}")
+
+    writer = evaluate_stream(engine(spark, ORDER_RULES, *ORDER_DIMS), source, sink, context_id_field="o_orderkey", hit_policy=P.FIRST)
+    writer.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{base}/out").drop("batch")
 
 
 # lattices ----------------------------------------------------------------------------------------
@@ -508,3 +594,85 @@ def lattice_route(spark, sf_dir):
     contexts = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
     found = own.index(own.build_all(REGIONAL.frame(spark))).apply_batch(contexts, "o_orderkey").survivors
     return found.groupBy(F.col("__context_id").alias("id")).agg(F.max("__agg_margin").alias("best"), F.count(F.lit(1)).alias("n"))
+
+
+_ONE = "(SELECT 'BUILDING' AS c_mktsegment, '1-URGENT' AS o_orderpriority, 220000.0 AS o_totalprice)"
+_CONTEXT = {"c_mktsegment": "BUILDING", "o_orderpriority": "1-URGENT", "o_totalprice": 220000.0}
+
+
+@query("lattice_saved", lattice_sql(OFFERS) + f" SELECT product, CAST(s AS BIGINT) AS s, CAST(level AS INTEGER) AS level FROM {_ONE} AS x JOIN f ON {_MATCH}")
+def lattice_saved(spark, sf_dir):
+    """A lattice that was saved and loaded, applied to one context."""
+    own = offer_engine(Aggregate("margin"))
+    path = f"{shared_dir(spark)}/lattice-{uuid.uuid4().hex}"
+    own.build(OFFERS.frame(spark)).save(path)
+    found = own.apply(Lattice.load(path, spark), _CONTEXT).survivors
+    return found.select(F.col("__prime_product").alias("product"), F.col("__agg_margin").alias("s"), F.col("__level").cast("int").alias("level"))
+
+
+@query("lattice_apply_auto", lattice_sql(REGIONAL, "kind") + f" SELECT product, CAST(s AS BIGINT) AS s FROM {_ONE} AS x JOIN f ON f.k = 'ASIA' AND {_MATCH}")
+def lattice_apply_auto(spark, sf_dir):
+    own = offer_engine(Aggregate("margin"), key=True)
+    found = own.apply_auto(own.build_all(REGIONAL.frame(spark)), {**_CONTEXT, "r_name": "ASIA"}).survivors
+    return found.select(F.col("__prime_product").alias("product"), F.col("__agg_margin").alias("s"))
+
+
+@query("lattice_one_partition", lattice_sql(REGIONAL, "kind") + " SELECT product, CAST(s AS BIGINT) AS s FROM f WHERE k = 'EUROPE'")
+def lattice_one_partition(spark, sf_dir):
+    own = offer_engine(Aggregate("margin"), key=True)
+    return own.build(REGIONAL.frame(spark), {"kind": "EUROPE"}).combinations.select(F.col("__prime_product").alias("product"), F.col("__agg_margin").alias("s"))
+
+
+@query("lattice_best", lattice_sql(OFFERS) + f" SELECT product, CAST(s AS BIGINT) AS s FROM (SELECT *, row_number() OVER (ORDER BY (seg <> '{U}')::INT + (pri <> '{U}')::INT + (lo <> {UN} AND hi <> {UN})::INT DESC, product) AS n FROM {_ONE} AS x JOIN f ON {_MATCH}) WHERE n = 1")
+def lattice_best(spark, sf_dir):
+    own = offer_engine(Aggregate("margin"))
+    found = own.apply(own.build(OFFERS.frame(spark)), _CONTEXT).best_combination
+    return found.select(F.col("__prime_product").alias("product"), F.col("__agg_margin").alias("s"))
+
+
+BANDS = Rules(
+    "rule_name string, cell string, least_of bigint, most_of bigint, kinds array<string>, barred array<string>, margin bigint",
+    ("b1", "x", 10, UN, ["view", "click"], ["AU"], 1),
+    ("b2", "x", 20, 100, ["click", "refund"], ["NZ", "AU"], 2),
+    ("b3", "y", UN, 50, None, None, 4),
+    ("b4", "y", 5, 80, ["purchase"], ["US"], 8),
+    ("b5", "z", 15, UN, ["click"], ["AU"], 16),
+)
+BAND_DIMS = [
+    Dimension("least_of", match_strategy=S.GREATER_THAN, data_type="int"),
+    Dimension("most_of", match_strategy=S.LESS_THAN, data_type="int"),
+    Dimension("kinds", match_strategy=S.SET_MEMBERSHIP),
+    Dimension("barred", match_strategy=S.SET_EXCLUSION),
+]
+
+
+def band_sql(guard: str = "") -> str:
+    """Combinations of BANDS: greatest and least thresholds, common members, all exclusions."""
+    wild = lambda c: f"list_contains({c}, '{U}')"
+    pick = lambda c, both: f"CASE WHEN {wild('c.' + c)} THEN r.{c} WHEN {wild('r.' + c)} THEN c.{c} ELSE {both} END"
+    at = lambda f, c: f"CASE WHEN c.{c} = {UN} THEN r.{c} WHEN r.{c} = {UN} THEN c.{c} ELSE {f}(c.{c}, r.{c}) END"
+    return f"""WITH RECURSIVE {BANDS.cte()},
+    r AS (SELECT over_, under_, coalesce(list_sort(kinds), ['{U}']) AS kinds, coalesce(list_sort(barred), ['{U}']) AS barred, cell, margin, ({_PRIMES})[idx + 1] AS p FROM (SELECT idx, cell, least_of AS over_, most_of AS under_, kinds, barred, margin FROM rules)),
+    c AS (SELECT over_, under_, kinds, barred, [cell] AS cells, margin AS s, CAST(p AS BIGINT) AS last, CAST(p AS BIGINT) AS product FROM r
+      UNION ALL
+      SELECT {at('greatest', 'over_')}, {at('least', 'under_')}, {pick('kinds', 'list_sort(list_intersect(c.kinds, r.kinds))')}, {pick('barred', 'list_sort(list_distinct(list_concat(c.barred, r.barred)))')},
+        list_append(c.cells, r.cell), c.s + r.margin, CAST(r.p AS BIGINT), c.product * r.p
+      FROM c JOIN r ON c.last < r.p AND ({wild('c.kinds')} OR {wild('r.kinds')} OR list_has_any(c.kinds, r.kinds)){guard}),
+    f AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM c AS o WHERE o.over_ = c.over_ AND o.under_ = c.under_ AND o.kinds = c.kinds AND o.barred = c.barred AND o.product <> c.product AND o.product % c.product = 0))
+    SELECT product, over_ AS least, under_ AS most, array_to_string(kinds, ',') AS kinds, array_to_string(barred, ',') AS barred, CAST(s AS BIGINT) AS s FROM f"""
+
+
+def _bands(spark: SparkSession, **options: Any) -> DataFrame:
+    found = AccumulatorEngine(DimensionsMetadata(BAND_DIMS), [Aggregate("margin")], **options).build(BANDS.frame(spark)).combinations
+    return found.select(F.col("__prime_product").alias("product"), F.col("co_least_of").alias("least"), F.col("co_most_of").alias("most"), F.array_join("co_kinds", ",").alias("kinds"), F.array_join("co_barred", ",").alias("barred"), F.col("__agg_margin").alias("s"))
+
+
+@query("lattice_thresholds_sets", band_sql())
+def lattice_thresholds_sets(spark, sf_dir):
+    return _bands(spark)
+
+
+@query("lattice_exclusive", band_sql(" AND NOT list_contains(c.cells, r.cell)"))
+def lattice_exclusive(spark, sf_dir):
+    """Rules of one cell never combine."""
+    return _bands(spark, exclusive_field="cell")

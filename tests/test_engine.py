@@ -218,3 +218,60 @@ def test_random_rules_against_plain_python(spark):
         expected |= {(c[0], name, rank) for rank, (_, _, name) in enumerate(scored, 1)}
     rows = engine.evaluate_batch(contexts, context_id_field="id").survivors.select("__context_id", "rule_name", "__rank").collect()
     assert set(map(tuple, rows)) == expected
+
+
+def test_first_after_min_specificity(spark):
+    """Policies of one row take the first of what is left, alone and in a batch."""
+    rules = spark.createDataFrame([("a", "<NA>", 9), ("b", "AU", 1), ("c", "AU", 1)], "rule_name string, region string, salience int").coalesce(1)
+    engine = ExpressionRulesEngine(rules, DimensionsMetadata([Dimension("region")], output_fields=["region"]))
+    contexts = spark.createDataFrame([(1, "AU"), (2, "NZ")], "id int, region string")
+    for policy in (HitPolicy.FIRST, HitPolicy.PRIORITY):
+        options = {"hit_policy": policy, "priority_field": "salience", "min_specificity": 1}
+        assert [r["rule_name"] for r in engine.evaluate({"region": "AU"}, **options).survivors.collect()] == ["b"]
+        assert [(r["__context_id"], r["rule_name"]) for r in engine.evaluate_batch(contexts, context_id_field="id", **options).survivors.collect()] == [(1, "b")]
+
+
+def test_select_again_and_of_a_context(spark, basic):
+    found = basic.evaluate(CONTEXT)
+    again = found.select(HitPolicy.RULE_ORDER).select(HitPolicy.COLLECT)
+    assert sorted(map(str, again.survivors.collect())) == sorted(map(str, found.survivors.collect()))
+    batch = basic.evaluate_batch(spark.createDataFrame([(7, "AU", 50, "PRE-001")], "id int, region string, amount int, code string"), context_id_field="id")
+    assert "__rule_index" in batch.survivors.columns and batch.context_id_field == "id"
+    assert batch.for_context(7).select(HitPolicy.FIRST).survivors.first()["rule_name"] == "specific"
+    one = basic.evaluate_batch(spark.createDataFrame([(7, "AU", 50, "PRE-001")], "id int, region string, amount int, code string"), context_id_field="id", hit_policy=HitPolicy.FIRST)
+    with pytest.raises(ValueError, match="truncated"):
+        one.for_context(7).select(HitPolicy.COLLECT)
+    assert basic.evaluate_batch(spark.createDataFrame([("AU", 50, "PRE-001")], "region string, amount int, code string")).context_id_field == "__context_id"
+
+
+@pytest.mark.parametrize("cells", [["AU", None], ["AU", "<NA>"], ["<NOT_SET>"]])
+def test_sets_are_checked(spark, cells):
+    rules = spark.createDataFrame([("a", ["NZ"]), ("b", ["<NA>"]), ("c", None), ("d", cells)], "rule_name string, region array<string>")
+    with pytest.raises(ValueError, match="null or a reserved mark"):
+        ExpressionRulesEngine(rules, DimensionsMetadata([Dimension("region", match_strategy=MatchStrategy.SET_MEMBERSHIP)]))
+    ExpressionRulesEngine(rules.where("rule_name <> 'd'"), DimensionsMetadata([Dimension("region", match_strategy=MatchStrategy.SET_MEMBERSHIP)]))
+
+
+def test_patterns_are_checked(spark):
+    rules = spark.createDataFrame([("a", "^x"), ("b", "<NA>"), ("c", "[")], "rule_name string, code string")
+    metadata = DimensionsMetadata([Dimension("code", match_strategy=MatchStrategy.REGEX)])
+    with pytest.raises(ValueError, match="pattern"):
+        ExpressionRulesEngine(rules, metadata)
+    ExpressionRulesEngine(rules.where("rule_name <> 'c'"), metadata)
+
+
+def test_large_rule_tables_have_no_cartesian_product(spark):
+    """Keyed, without a key, and by bytes: the same survivors as from one broadcast."""
+    from ternary_rules.operators import filter_engine
+
+    rows = [(f"r{i}", ["<NA>", "AU", "NZ", "UK"][i % 4], i % 50) for i in range(3000)]
+    rules = spark.createDataFrame(rows, "rule_name string, region string, least int").coalesce(1)
+    contexts = spark.createDataFrame([(1, "AU", 20), (2, None, 3), (3, "XX", 60)], "id int, region string, amount int")
+    dims = [Dimension("region"), Dimension("least", context_field="amount", match_strategy=MatchStrategy.GREATER_THAN, data_type="int")]
+    for some in (dims, dims[1:]):
+        want = sorted(map(str, ExpressionRulesEngine(rules, DimensionsMetadata(some)).evaluate_batch(contexts, context_id_field="id").survivors.collect()))
+        cut = ExpressionRulesEngine(rules, DimensionsMetadata(some), broadcast_rules=100).evaluate_batch(contexts, context_id_field="id").survivors
+        assert sorted(map(str, cut.collect())) == want and len(want) > 100
+        assert "CartesianProduct" not in cut._jdf.queryExecution().toString()
+    with pytest.raises(ValueError, match="meet every context"):
+        filter_engine.ExpressionRulesEngine(rules, DimensionsMetadata(dims[1:]), broadcast_rules=100)._with_all(contexts, rules, 10_000_000, 1)
