@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored
+from .common import join_skewed, small_batches, stored
 from .graph import components
 
 CELL_ROWS = 1024
@@ -74,12 +74,13 @@ class CrossPolytope:
 
 def plan_for(vectors: int) -> tuple[int, int, int]:
     """tables, hashes and probes for so many vectors: more vectors take longer keys, so that buckets
-    keep their size, and more tables and probes, so that the recall stays."""
-    return (4, 1, 2) if vectors <= 500_000 else (6, 2, 4) if vectors <= 500_000_000 else (9, 3, 6)
+    keep their size, and more tables and probes, so that the recall stays: each of the three finds
+    over 0.9999 of 40,000 random pairs of 64 components at cosine 0.98, and more of closer ones."""
+    return (4, 1, 2) if vectors <= 500_000 else (4, 2, 4) if vectors <= 500_000_000 else (6, 3, 6)
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id, label and embedding of the rows that can link, without repeats."""
+    """vec_id, label and embedding of the rows that can link."""
     e = F.col("embedding").cast("array<double>")
     bad = F.exists(e, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
     good = F.coalesce(~bad & F.exists(e, lambda c: c != 0), F.lit(False))
@@ -199,15 +200,19 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     link with nothing. n_links counts other ids, component_id is the least id reachable, kept tells
     whether that is the row's own. Rows are told apart by vec_id: repeats share one result. Exact
     copies are hashed and compared once."""
-    own = stored(usable(vectors).distinct())
-    copies = own.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    reps = stored(copies)
+    # 128 bits stand for a label and vector; the vectors themselves move once, to find the distinct ones
+    same = [F.xxhash64("label", "embedding").alias("h1"), F.xxhash64(F.lit(1), "label", "embedding").alias("h2")]
+    own = usable(vectors).select("vec_id", "label", "embedding", *same)
+    ids = stored(own.select("vec_id", "h1", "h2").distinct())
+    copies = ids.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    distinct = own.groupBy("h1", "h2").agg(F.any_value("label").alias("label"), F.any_value("embedding").alias("embedding"))
+    reps = stored(distinct.join(copies, ["h1", "h2"]))
     found = stored(links(reps.select(F.col("rep").alias("vec_id"), "label", "embedding", "copies"), least))
     counted = found.groupBy(F.col("vec_id").alias("rep")).agg(F.sum("links").alias("links"))
     linked = components(found.select(F.col("vec_id").alias("u"), F.col("root").alias("v")))
-    known = reps.join(counted, "rep", "left").join(linked.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    known = known.select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "rep").alias("component"))
-    members = own.join(known, ["label", "embedding"]).select(F.col("vec_id").alias("__id"), "n", "component")
+    known = reps.select("h1", "h2", "rep", "copies").join(counted, "rep", "left").join(linked.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    known = stored(known.select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "rep").alias("component")))
+    members = join_skewed(ids, known, ["h1", "h2"]).select(F.col("vec_id").alias("__id"), "n", "component")
     members = members.groupBy("__id").agg(F.max("n").alias("n"), F.min("component").alias("component"))
     out = vectors.select(F.col("vec_id").cast("long")).join(members, F.col("vec_id") == F.col("__id"), "left")
     out = out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
