@@ -206,6 +206,12 @@ class LineIndex:
             return rows.drop("sign")
         return rows.groupBy("doc_id", "hi", "lo").agg(F.sum("sign").alias("n")).where("n > 0").drop("n")
 
+    def _compacted(self) -> DataFrame:
+        """live() as a stored table: after a deletion it takes the place of the signed rows."""
+        if any(s < 0 for _, s in self.refs):
+            self.refs = [(stored(self.live(), f"{self.path}/live-{uuid.uuid4().hex}"), 1)]
+        return self.live()
+
     def counts(self) -> DataFrame:
         """(hi, lo, refs, keeper): how many documents hold the key, and the least doc_id of them."""
         return self.live().groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("refs"), F.min("doc_id").alias("keeper"))
@@ -242,8 +248,9 @@ class LineIndex:
             keys = self._sharded(keys)
             probed = stored(keys.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(_probe, "shard int, hi long, lo long, maybe boolean"), f"{self.path}/probed-{uuid.uuid4().hex}")
             maybe = probed.where("maybe").select("hi", "lo")
-            held = stored(self.live().join(maybe, ["hi", "lo"], "left_semi"), f"{self.path}/held-{uuid.uuid4().hex}")
-            new_keys = probed.where("not maybe").select("hi", "lo").unionByName(maybe.join(held, ["hi", "lo"], "left_anti"))
+            # a key that very many documents hold is one row here, and split where its rows are looked up
+            held = stored(join_skewed(self._compacted(), maybe, ["hi", "lo"], "left_semi"), f"{self.path}/held-{uuid.uuid4().hex}")
+            new_keys = probed.where("not maybe").select("hi", "lo").unionByName(maybe.join(held.select("hi", "lo").distinct(), ["hi", "lo"], "left_anti"))
             refs = stored(batch.join(held, ["doc_id", "hi", "lo"], "left_anti"), f"{self.path}/refs-{uuid.uuid4().hex}")
         self.refs.append((refs, 1))
         self._write_filters(new_keys.withColumn("added", F.lit(True)))
@@ -255,7 +262,7 @@ class LineIndex:
             return self
         gone = stored(self.live().join(doc_ids.select(F.col("doc_id").cast("long")).distinct(), "doc_id", "left_semi"), f"{self.path}/gone-{uuid.uuid4().hex}")
         self.refs.append((gone, -1))
-        dead = gone.select("hi", "lo").distinct().join(self.live(), ["hi", "lo"], "left_anti")
+        dead = gone.select("hi", "lo").distinct().join(self._compacted().select("hi", "lo").distinct(), ["hi", "lo"], "left_anti")
         self._write_filters(dead.withColumn("added", F.lit(False)))
         return self
 
