@@ -36,6 +36,8 @@ SMOOTHING = 0.2
 MEMO_WORDS = 600_000
 #: Letters of the words that are remembered at most, apart from those that one batch needs.
 MEMO_LETTERS = 16_000_000
+#: Codes and keys, which are in no language: runs of letters and digits that mix the two.
+CODES = regex.compile(r"[\p{L}\p{N}]*(?:\p{L}\p{N}|\p{N}\p{L})[\p{L}\p{N}]*+")
 #: A factor per letter that keeps products near 1; it cancels out.
 LIFT = 40.0
 #: Share of a language's letters that its alphabet covers; the rest are strays of other languages.
@@ -322,7 +324,8 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     priors) added. Only the text is read: lang_pred is `und` with score 0 if it is null or has no
     letter, or if nothing was learned. Ties go to the language first in code point order. With a
     model's background, __margin too: the nats by which the language explains the text better than
-    letters drawn at random, with SLACK added; below 0 the text is in no language that was learned."""
+    letters drawn at random, codes and keys left out where that helps, with SLACK added; below 0 the
+    text is in no language that was learned."""
     spark = docs.sparkSession
     small_batches(spark)
     own_names, docs = docs.columns, shielded(docs, ("text",))
@@ -341,7 +344,8 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
         memo = _memos[token]
         for batch in batches:
             predicted, score, margin = [], [], []
-            split = [words_of(t or "") for t in batch.column(at_text).to_pylist()]
+            texts = batch.column(at_text).to_pylist()
+            split = [words_of(t or "") for t in texts]
             a = 0
             while a < len(split):
                 b, words = a, set()
@@ -350,7 +354,7 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
                     b += 1
                 memo.need(words, p, vocab)
                 at = memo.at
-                for own in split[a:b]:
+                for text, own in zip(texts[a:b], split[a:b], strict=True):
                     if not own or not languages:
                         predicted.append("und")
                         score.append(0.0)
@@ -361,7 +365,13 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
                     predicted.append(languages[best])
                     score.append(float(1.0 / np.exp(total - total[best]).sum()))
                     if background is not None:
-                        margin.append(float(total[best] - background[best] * sum(len(w) + 1 for w in own)) + SLACK)
+                        over = float(total[best] - background[best] * sum(len(w) + 1 for w in own)) + SLACK
+                        # few texts: once more without codes, if words are left
+                        plain = words_of(CODES.sub(" ", text)) if over < 0 else []
+                        if plain and len(plain) < len(own):
+                            rest = log_probabilities(plain, p, vocab).sum(axis=0) - background * sum(len(w) + 1 for w in plain)
+                            over = max(over, float(rest.max()) + SLACK)
+                        margin.append(over)
                 a = b
             more = [] if background is None else [pa.array(margin, pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(predicted, pa.string()), pa.array(score, pa.float64()), *more], names=[*names, *added])

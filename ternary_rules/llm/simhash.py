@@ -185,8 +185,9 @@ def keep_one(docs: DataFrame, words_per_shingle: int = 4, max_differing: int = 4
     known = docs.where("doc_id is not null")
     found = _classed(known, words_per_shingle, max_differing).where("doc_id = component_id")
     found = found.select(F.col("doc_id").alias("__id"), F.col("th").alias("__of"), "class").distinct()
-    kept = known.join(found, (known["doc_id"] == found["__id"]) & (known["__th"] == found["__of"]))
+    # joined by doc_id alone, so that the texts, which that deals, need not move again for the window
+    kept = known.join(found, (known["doc_id"] == found["__id"]) & (known["__th"].bitwiseXOR(found["__of"]) == 0))
     rest = [c for c in docs.columns if c not in (*needed, "__th")]
-    first = Window.partitionBy("class").orderBy("text", *([F.to_json(F.struct(*rest))] if rest else []))
+    first = Window.partitionBy("doc_id", "class").orderBy("text", *([F.to_json(F.struct(*rest))] if rest else []))
     kept = kept.withColumn("__n", F.row_number().over(first)).where("__n = 1").select(*docs.columns)
     return restored(kept.unionByName(docs.where("doc_id is null")), names, needed)
