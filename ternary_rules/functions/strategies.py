@@ -7,11 +7,13 @@ A null in a rule's cell is a wildcard.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ternary_rules.plans.model import Dimension, DimensionsMetadata, MatchStrategy
+from ternary_rules.plans.model import SETS, Dimension, DimensionsMetadata, MatchStrategy
 
 from .sentinels import SPARK_TYPE, is_sentinel, is_unknown, not_set, unknown
 
@@ -103,3 +105,96 @@ class DimensionCompiler:
 
     def _set_exclusion(self, dim: Dimension) -> Column:
         return self._set(dim, False)
+
+
+class PairCompiler:
+    """The same strategies for pairs of a join, where each cell meets many contexts: what depends on
+    one side only becomes a column of that side, computed once for each row before the join. A null
+    there stands for a wildcard or a missing value, so a pair costs a test for null and a comparison.
+
+    `patterns` holds the distinct patterns of a REGEX dimension. They are matched with the context
+    as literals, compiled once in each task, and a rule's cell becomes its pattern's place among
+    them; without them a pattern is compiled for every pair."""
+
+    _CHEAP = (MatchStrategy.EXACT, MatchStrategy.EXACT_KEY, MatchStrategy.GREATER_THAN, MatchStrategy.LESS_THAN, MatchStrategy.RANGE, MatchStrategy.NOT_EQUAL)
+
+    def __init__(self, dimensions: list[Dimension], patterns: dict[str, list[str]] | None = None):
+        self.dimensions, self.patterns = dimensions, patterns or {}
+        self._base = DimensionCompiler()
+
+    @staticmethod
+    def _names(dim: Dimension) -> list[str]:
+        return [f"__{end}_{dim.dimension_name}" for end in (("low", "high") if dim.match_strategy is MatchStrategy.RANGE else ("cell",))]
+
+    @staticmethod
+    def _value(dim: Dimension) -> str:
+        return f"__value_{dim.dimension_name}"
+
+    def rule_columns(self) -> dict[str, Column]:
+        out = {}
+        for d in self.dimensions:
+            if d.match_strategy is MatchStrategy.CONTEXT_REGEX:
+                continue
+            for name, field in zip(self._names(d), d.rule_fields, strict=True):
+                if d.match_strategy in SETS:
+                    cell = F.col(f"`{field}`").cast(f"array<{SPARK_TYPE[d.data_type]}>")
+                    wild = F.coalesce(F.array_contains(cell, unknown(d.data_type)), F.lit(False))
+                else:
+                    cell = self._base._rule(d, field)
+                    wild = (is_unknown if d.match_strategy is MatchStrategy.EXACT_KEY else is_sentinel)(cell, d.data_type)
+                    if d.dimension_name in self.patterns:
+                        known = F.array(*[F.lit(p) for p in self.patterns[d.dimension_name]]).cast("array<string>")
+                        cell = F.array_position(known, cell).cast("int")
+                out[name] = F.when(~wild, cell)
+        return out
+
+    def context_columns(self) -> dict[str, Column]:
+        out = {}
+        for d in self.dimensions:
+            c, s = self._base._ctx(d), d.match_strategy
+            if s in (MatchStrategy.PREFIX, MatchStrategy.SUFFIX, MatchStrategy.CONTAINS, MatchStrategy.REGEX):
+                c = F.coalesce(c, not_set(d.data_type))
+                if d.dimension_name in self.patterns:
+                    c = F.array(*[c.cast("string").rlike(p) for p in self.patterns[d.dimension_name]]).cast("array<boolean>")
+            elif s is MatchStrategy.CONTEXT_REGEX:
+                c = self._base.compile_dimension(d)
+            elif s is not MatchStrategy.EXACT_KEY:
+                c = F.when(~is_sentinel(c, d.data_type), c)
+            out[self._value(d)] = c
+        return out
+
+    def _parts(self, d: Dimension) -> list[tuple[Column, Column]]:
+        """(is a wildcard, matches) of each comparison that the dimension makes; neither is ever null."""
+        s, c = d.match_strategy, F.col(f"`{self._value(d)}`")
+        if s is MatchStrategy.CONTEXT_REGEX:
+            return [(F.lit(False), c == 1)]
+        cells = [F.col(f"`{n}`") for n in self._names(d)]
+        r = cells[0]
+        if s is MatchStrategy.RANGE:
+            low, high = cells
+            return [
+                (low.isNull() | c.isNull(), c >= low if d.range_min_inclusive else c > low),
+                (high.isNull() | c.isNull(), c <= high if d.range_max_inclusive else c < high),
+            ]
+        if s is MatchStrategy.EXACT_KEY:
+            return [(r.isNull(), F.coalesce(r == c, F.lit(False)))]
+        if s in SETS:
+            has = F.coalesce(F.array_contains(r, c), F.lit(False))
+            return [(r.isNull() | c.isNull(), has if s is MatchStrategy.SET_MEMBERSHIP else ~has)]
+        if s is MatchStrategy.REGEX:
+            return [(r.isNull(), F.get(c, r - 1) if d.dimension_name in self.patterns else F.regexp_like(c, r))]
+        text = {MatchStrategy.PREFIX: F.startswith, MatchStrategy.SUFFIX: F.endswith, MatchStrategy.CONTAINS: F.contains}
+        if s in text:
+            return [(r.isNull(), text[s](c, r))]
+        plain = {MatchStrategy.EXACT: r == c, MatchStrategy.NOT_EQUAL: r != c, MatchStrategy.GREATER_THAN: c > r, MatchStrategy.LESS_THAN: c < r}
+        return [(r.isNull() | c.isNull(), plain[s])]
+
+    def values(self) -> dict[str, Column]:
+        """1, 0 or -1 of each dimension."""
+        return {d.dimension_name: conjunction([F.when(wild, F.lit(0)).otherwise(ternary(match)) for wild, match in self._parts(d)]) for d in self.dimensions}
+
+    def survives(self) -> Column:
+        """No dimension mismatches; the first that does ends the test, so cheap ones come first."""
+        order = sorted(self.dimensions, key=lambda d: (d.match_strategy not in self._CHEAP, d.match_strategy is MatchStrategy.REGEX))
+        tests = [wild | match for d in order for wild, match in self._parts(d)]
+        return reduce(and_, tests)

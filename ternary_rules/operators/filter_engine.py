@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ternary_rules.functions.sentinels import SPARK_TYPE, is_sentinel, literal, not_set, unknown_sentinel_for
-from ternary_rules.functions.strategies import DimensionCompiler, conjunction, ctx
+from ternary_rules.functions.strategies import DimensionCompiler, PairCompiler, conjunction, ctx
 from ternary_rules.plans.model import SETS, DataType, Dimension, DimensionsMetadata, HitPolicy, MatchStrategy
 from ternary_rules.sources.contexts import context_literals, prepare_contexts, reject_reserved, with_index
 
@@ -31,6 +31,8 @@ from .results import BatchRuleResult, ExplainResult, RuleResult
 BROADCAST_RULES, BROADCAST_BYTES = 50_000, 128 << 20
 #: Broadcasts, each of a part of the rules, that one evaluation makes at most.
 MOST_PARTS = 64
+#: Distinct patterns of a REGEX dimension that become literals of the plan at most.
+LITERAL_PATTERNS = 256
 _CLASSES = {"string": "text", "boolean": "bool", "date": "time", "timestamp": "time", "timestamp_ntz": "time"}
 
 
@@ -69,7 +71,7 @@ class ExpressionRulesEngine:
             self.expressions = DimensionCompiler().compile_dimensions(dimension_metadata)
         else:
             self.expressions = {n: e if isinstance(e, Column) else e(_Named(), _Named("__ctx_")) for n, e in dimension_expressions.items()}
-        self._order_field, self._indexed, self._size = rule_order_field, None, None
+        self._order_field, self._indexed, self._size, self._patterns = rule_order_field, None, None, {}
 
     @staticmethod
     def _check_schema(rules: DataFrame, metadata: DimensionsMetadata) -> None:
@@ -149,8 +151,29 @@ class ExpressionRulesEngine:
 
     # scoring -----------------------------------------------------------------------------------
 
-    def _scored(self, pairs: DataFrame, active: list[str]) -> DataFrame:
-        values = pairs.withColumns({f"__t_{n}": F.coalesce(self.expressions[n], F.lit(0)) for n in active})
+    def _pair_compiler(self, active: list[str]) -> PairCompiler | None:
+        """For the pairs of a join; None for custom expressions, which may mix both sides at will."""
+        if self.metadata is None:
+            return None
+        dimensions = self._dimensions(active)
+        for d in dimensions:
+            if d.match_strategy is MatchStrategy.REGEX and d.dimension_name not in self._patterns:
+                cell = F.col(f"`{d.resolved_rule_field}`").cast("string")
+                found = self.rules.where(~is_sentinel(cell, d.data_type)).select(cell).distinct().limit(LITERAL_PATTERNS + 1).collect()
+                self._patterns[d.dimension_name] = sorted(r[0] for r in found) if len(found) <= LITERAL_PATTERNS else None
+        return PairCompiler(dimensions, {d.dimension_name: p for d in dimensions if (p := self._patterns.get(d.dimension_name)) is not None})
+
+    def _survivors(self, pairs: DataFrame, active: list[str]) -> DataFrame:
+        """The scored rows of pairs() that no dimension rules out."""
+        compiler = self._pair_compiler(active)
+        if compiler is None:
+            return self._scored(pairs, active).where("__survived")
+        left = pairs.where(compiler.survives())
+        return self._scored(left, active, compiler.values()).drop(*compiler.rule_columns(), *compiler.context_columns())
+
+    def _scored(self, pairs: DataFrame, active: list[str], expressions: dict[str, Column] | None = None) -> DataFrame:
+        expressions = self.expressions if expressions is None else expressions
+        values = pairs.withColumns({f"__t_{n}": F.coalesce(expressions[n], F.lit(0)) for n in active})
         t = [F.col(f"`__t_{n}`") for n in active]
         return values.withColumn("__survived", conjunction(t) >= 0).withColumn("__specificity", reduce(add, [(x == 1).cast("int") for x in t]))
 
@@ -208,6 +231,9 @@ class ExpressionRulesEngine:
     def pairs(self, contexts: DataFrame, active: list[str], on: list[str] | None = None, indexed: bool = True) -> DataFrame:
         """Prepared contexts with every rule that may survive; `on` names columns that both sides hold."""
         rules = self.indexed_rules if indexed else self.rules
+        compiler = self._pair_compiler(active)
+        if compiler is not None:
+            rules, contexts = rules.withColumns(compiler.rule_columns()), contexts.withColumns(compiler.context_columns())
         if on:
             return contexts.join(rules, on)
         n, size = self.rules_size
@@ -235,7 +261,7 @@ class ExpressionRulesEngine:
             raise ValueError(f"{n} rules of {size} bytes would meet every context: give an EXACT or EXACT_KEY dimension with few wildcards, or raise broadcast_rules")
         if parts == 1:
             return contexts.crossJoin(F.broadcast(rules))  # of a checked size
-        part = F.pmod(F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rules.columns]))), F.lit(2 * parts))
+        part = F.pmod(F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in self.rules.columns]))), F.lit(2 * parts))
         return reduce(DataFrame.unionByName, [contexts.crossJoin(F.broadcast(rules.where(part == k))) for k in range(2 * parts)])
 
     def evaluate_batch(self, contexts: DataFrame, *, context_id_field: str | None = None, dimensions: list[str] | None = None, hit_policy: HitPolicy | None = None, priority_field: str | None = None, top_n_per_context: int | None = None, min_specificity: int | None = None, include_observability: bool = True, chunk_size: int | None = None, check_ids: bool = True) -> BatchRuleResult:
@@ -243,13 +269,15 @@ class ExpressionRulesEngine:
         chunk_size is accepted and not needed: partitions bound the memory."""
         active = self._active(dimensions)
         prepared = prepare_contexts(contexts, self._dimensions(active), context_id_field, check_ids)
-        return self.rank_pairs(self.pairs(prepared.repartition("__context_id"), active), active, context_id_field, hit_policy, priority_field, top_n_per_context, min_specificity, include_observability)
+        # a fixed number: adaptive execution would merge parts by the contexts' bytes, which the pairs exceed many times
+        parts = int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return self.rank_pairs(self.pairs(prepared.repartition(parts, "__context_id"), active), active, context_id_field, hit_policy, priority_field, top_n_per_context, min_specificity, include_observability)
 
     def rank_pairs(self, pairs: DataFrame, active: list[str], context_id_field: str | None = None, hit_policy: HitPolicy | None = None, priority_field: str | None = None, top_n_per_context: int | None = None, min_specificity: int | None = None, include_observability: bool = True) -> BatchRuleResult:
         policy = self._policy(hit_policy)
         info = selection_info_from_metadata(self.metadata, priority_field, include_observability)
         order = ordering_keys(policy, info.priority_field)
-        survivors = self._scored(pairs, active).where("__survived")
+        survivors = self._survivors(pairs, active)
         check_assertions(survivors, policy, info, ["__context_id"])
         one = Window.partitionBy("__context_id").orderBy(*order)
         ranked = survivors.withColumn("__rank", F.row_number().over(one))

@@ -18,7 +18,7 @@ def score_stream(engine: ExpressionRulesEngine, contexts: DataFrame, context_id_
     """A stream of survivors, unranked."""
     active = engine._active(dimensions)
     prepared = prepare_contexts(contexts, engine._dimensions(active), context_id_field, check=False)
-    scored = engine._scored(engine.pairs(prepared, active, indexed=False), active).where("__survived")
+    scored = engine._survivors(engine.pairs(prepared, active, indexed=False), active)
     return engine._finish(scored, active, True)
 
 
