@@ -120,12 +120,13 @@ class LatticeIndex:
             raise AmbiguousPartitionError(f"partitions {ties} fit one context equally well")
 
     def _route(self, contexts: DataFrame, context_id_field: str | None = None) -> BatchRuleResult:
-        return self._meta.evaluate_batch(contexts, context_id_field=context_id_field, include_observability=False)
+        return self._meta.evaluate_batch(contexts, context_id_field=context_id_field, include_observability=False, check_ids=False)
 
     def _ties(self, routed: BatchRuleResult) -> list | None:
-        best = routed.survivors.groupBy("__context_id").agg(F.max("__specificity").alias("__best"))
-        top = routed.survivors.join(best, "__context_id").where("__specificity = __best")
-        found = top.groupBy("__context_id").agg(F.count(F.lit(1)).alias("n"), F.min("lattice").alias("a"), F.max("lattice").alias("b")).where("n > 1").first()
+        # both groupings keep the partitions that the contexts were dealt to
+        equal = routed.survivors.groupBy("__context_id", "__specificity").agg(F.count(F.lit(1)).alias("n"), F.min("lattice").alias("a"), F.max("lattice").alias("b"))
+        top = equal.groupBy("__context_id").agg(F.max(F.struct("__specificity", "n", "a", "b")).alias("top"))
+        found = top.where("top.n > 1").select("top.*").first()
         return None if found is None else [self.lattices[found["a"]].partition_key, self.lattices[found["b"]].partition_key]
 
     def route(self, context: Any) -> Lattice:
