@@ -16,7 +16,7 @@ RESERVED = ("__context_id", "__global_idx", "__grp_base", "__rule_index", "__sur
 
 
 def reject_reserved(df: DataFrame, what: str) -> None:
-    taken = [c for c in df.columns if c in RESERVED or c.startswith(("__ctx_", "__t_"))]
+    taken = [c for c in df.columns if c in RESERVED or c.startswith(("__ctx_", "__t_", "__cell_", "__low_", "__high_", "__value_"))]
     if taken:
         raise ValueError(f"{what} hold reserved column names: {', '.join(taken)}")
 
