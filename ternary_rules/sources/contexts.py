@@ -50,21 +50,31 @@ def context_literals(context: Any, dimensions: list[Dimension]) -> dict[str, Col
     return {ctx(d.dimension_name): literal(values[d.dimension_name], d.data_type) for d in dimensions}
 
 
+def fixed_parts(df: DataFrame) -> DataFrame:
+    """df over the partitions that it has now, in every later job: a scan cuts its files anew in each
+    job, by the cores that are there by then. Calls on one df give the same partitions. Columns keep
+    their identity; the scan reads all of them."""
+    jvm = df.sparkSession.sparkContext._jvm
+    rows = df._jdf.queryExecution().toRdd()
+    plan = getattr(getattr(jvm.org.apache.spark.sql.execution, "LogicalRDD$"), "MODULE$").fromDataset(rows, df._jdf, False)
+    return DataFrame(jvm.org.apache.spark.sql.classic.Dataset.ofRows(df._jdf.sparkSession(), plan), df.sparkSession)
+
+
 def with_index(df: DataFrame, name: str) -> DataFrame:
     """df with zero-based row positions, in the order of its partitions. One small job counts the
-    partitions' rows; no row moves. The source has to give the same partitions each time: a table
+    partitions' rows; no row moves. A lost part of a shuffle may come back in another order: a table
     that is computed by a shuffle should be written first, or bring a column to order by."""
-    at = F.monotonically_increasing_id()
-    counts = df.select(F.spark_partition_id().alias("p")).groupBy("p").count().orderBy("p").collect()  # a row per partition
-    offsets, total = {}, 0
+    fixed, at = fixed_parts(df), F.monotonically_increasing_id()
+    counts = fixed.select(F.spark_partition_id().alias("p")).groupBy("p").count().orderBy("p").collect()  # a row per partition
+    if not counts or counts[-1]["p"] == 0:
+        return fixed.withColumn(name, at)
+    offsets, total = [0] * (counts[-1]["p"] + 1), 0  # partitions without rows, which need none, may come first
     for r in counts:
         offsets[r["p"]] = total
         total += r["count"]
-    if len(offsets) <= 1:
-        return df.withColumn(name, at)
-    base = F.create_map(*[F.lit(x).cast("bigint") for pair in offsets.items() for x in pair])
-    numbered = df.withColumn(name, at)
-    return numbered.withColumn(name, F.element_at(base, F.shiftright(F.col(name), 33)) + F.col(name).bitwiseAND(F.lit((1 << 33) - 1)))
+    base = F.array(*[F.lit(x).cast("bigint") for x in offsets])
+    numbered = fixed.withColumn(name, at)
+    return numbered.withColumn(name, F.get(base, F.shiftright(F.col(name), 33).cast("int")) + F.col(name).bitwiseAND(F.lit((1 << 33) - 1)))
 
 
 def prepare_contexts(contexts: DataFrame, dimensions: list[Dimension], context_id_field: str | None, check: bool = True) -> DataFrame:
